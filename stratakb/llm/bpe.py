@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -71,6 +72,22 @@ class RankQueue:
         return rank, self.lists.pop(rank)
 
 
+class _Pieces(dict):
+    """Ids by pre-token; short pre-tokens are kept, and the whole is emptied at CACHE entries."""
+
+    def __init__(self, owner: Encoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = self.owner.merge(piece.encode("utf-8", "replace"))
+        if len(piece) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes text with the ranks of one vocabulary file."""
 
@@ -86,7 +103,8 @@ class Encoder:
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(PATTERN)
         self.pairs: dict[tuple[int, int], int] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.queue = RankQueue(self.size)  # empty again after every merge
+        self.cache = _Pieces(self)
 
     def _rank(self, a: int, b: int) -> int:
         """The id that a followed by b merges to, or -1."""
@@ -104,7 +122,7 @@ class Encoder:
         ids = [self.single[b] for b in piece]
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = RankQueue(self.size)
+        queue = self.queue
         for i in range(n - 1):
             if (r := self._rank(ids[i], ids[i + 1])) >= 0:
                 queue.push(r, i)
@@ -134,20 +152,9 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; special-token look-alikes are plain text, null and empty texts have none."""
-        out: list[int] = []
         if not text:
-            return out
-        cache = self.cache
-        for piece in self.split.findall(text):
-            ids = cache.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode("utf-8", "replace"))
-                if len(piece) <= LONG:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[piece] = ids
-            out.extend(ids)
-        return out
+            return []
+        return list(chain.from_iterable(map(self.cache.__getitem__, self.split.findall(text))))
 
 
 @lru_cache(maxsize=2)

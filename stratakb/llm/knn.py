@@ -74,10 +74,15 @@ class Cells:
 
     def probes(self, x: np.ndarray, distance: float, success: float, most: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of the cells to visit, the home cell among them, at most `most` of a row."""
+        if most <= 1 or not len(x):
+            return np.arange(len(x)), self.home(x)[0]
+        step = 8192  # the scores of a block of rows stay in the cache
+        parts = [self._probes(x[i : i + step], distance, success, most) for i in range(0, len(x), step)]
+        return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
+
+    def _probes(self, x: np.ndarray, distance: float, success: float, most: int) -> tuple[np.ndarray, np.ndarray]:
         code, h, inside = self.home(x)
         n, m = h.shape
-        if most <= 1 or not n:
-            return np.arange(n), code
         offsets = np.array([-2, -1, 1, 2])
         edges = [_normal_cdf((i * self.w - inside) / distance) for i in range(-2, 4)]
         mass = {o: np.maximum(edges[o + 3] - edges[o + 2], 1e-12) for o in (-2, -1, 0, 1, 2)}
@@ -167,7 +172,7 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
         return np.array([], int), np.array([], int), np.array([], np.float32)
 
     def compare(q: np.ndarray, c: np.ndarray) -> None:
-        step = max(1, 8_000_000 // max(1, len(c)))
+        step = max(1, 2_000_000 // max(1, len(c)))
         for i in range(0, len(q), step):
             sim = x[q[i : i + step]] @ x[c].T
             if min_sim <= -1 and sim.shape[1] > k + 1:
@@ -209,7 +214,7 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
     return q, c, s
 
 
-def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 64, cell_rows: int = 60_000, distance: float = 0.4, success: float = 0.99, most_cells: int = 4, tables: int = 6, probes: int = 3, scan: bool = False, seed: int = 20) -> DataFrame:
+def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 64, cell_rows: int = 150_000, distance: float = 0.4, success: float = 0.99, most_cells: int = 4, tables: int = 6, probes: int = 3, scan: bool = False, seed: int = 20) -> DataFrame:
     """(key, near, sim): the k most similar other keys of every query row of df (key, vec, query).
 
     Vectors of another length than dim, with null or non-finite values, or all zero are left out; rows
@@ -232,7 +237,9 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
 
     def one(group: pa.Table) -> pa.Table:
         key = np.asarray(group.column("key"))
-        x = np.frombuffer(b"".join(group.column("v").to_pylist()), "<f2").reshape(len(key), dim).astype(np.float32)
+        v = group.column("v").combine_chunks()
+        v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+        x = np.frombuffer(v.buffers()[2], "<f2", len(v) * dim, v.offset * 2 * dim).reshape(len(v), dim).astype(np.float32)
         x /= np.sqrt((x * x).sum(1))[:, None]
         home, query = np.asarray(group.column("home")), np.asarray(group.column("query"))
         q, c, s = search_cell(key, home, query, x, k, min_sim, tables, probes, distance, scan, seed)

@@ -11,13 +11,13 @@ symbol, then by the exact similarity of the shingle sets.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratakb.operators.graph import connected_components
@@ -101,6 +101,28 @@ def _fingerprint(batches: Iterator[pd.DataFrame], size: int, least: int, blocks:
             )
 
 
+def bucket_pairs(prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column]) -> DataFrame:
+    """Distinct pairs (lo, hi) of classes that share a block and whose sketches are near.
+
+    prints has cls, blocks and the sketch columns; near(a, b) is the condition on the aliases a and b.
+    Copies of a class are folded while blocks are counted; a block of two classes is a pair at once, and
+    the members of a larger one meet in salted parts, so that none is too large for a task.
+    """
+    rows = prints.select("cls", F.explode("blocks").alias("block"))
+    buckets = rows.groupBy("block").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    buckets = cut(buckets, "buckets")
+    sketches = prints.select("cls", *sketch).distinct()
+    two = buckets.where("n = 2").select("lo", "hi").distinct()
+    two = two.join(sketches.alias("a"), F.col("lo") == F.col("a.cls")).join(sketches.alias("b"), F.col("hi") == F.col("b.cls")).where(near("a", "b")).select("lo", "hi")
+    more = buckets.where("n > 2").select("block", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+    full = prints.select("cls", *sketch, F.explode("blocks").alias("block")).join(more, "block").distinct()
+    left = full.withColumn("part", F.pmod(F.hash("cls"), "parts"))
+    right = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    many = left.alias("a").join(right.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.cls") < F.col("b.cls")) & near("a", "b"))
+    many = many.select(F.col("a.cls").alias("lo"), F.col("b.cls").alias("hi"))
+    return cut(two.unionByName(many).distinct(), "candidates")
+
+
 def similar_classes(df: DataFrame, threshold: float = 0.8, size: int = 5, least: int = 5, blocks: int = 36, width: int = 4, hamming: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs of text classes with a similarity of threshold or more, and the members of the classes.
 
@@ -117,21 +139,8 @@ def similar_classes(df: DataFrame, threshold: float = 0.8, size: int = 5, least:
         hamming = int(128 * p + 4.2 * (128 * p * (1 - p)) ** 0.5) + 1
     df = df.select(F.col("id"), F.col("text")).where("id is not null and text is not null")
     prints = cut(df.mapInPandas(lambda b: _fingerprint(b, size, least, blocks, width), "id string, cls long, s0 long, s1 long, blocks array<long>"), "prints")
-    rows = prints.select("cls", F.explode("blocks").alias("block"))
-    buckets = rows.groupBy("block").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-    buckets = cut(buckets, "buckets")
-    sketch = prints.select("cls", "s0", "s1").distinct()
-    near = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) <= hamming
-    two = buckets.where("n = 2").select("lo", "hi").distinct()
-    two = two.join(sketch.alias("a"), F.col("lo") == F.col("a.cls")).join(sketch.alias("b"), F.col("hi") == F.col("b.cls")).where(near).select("lo", "hi")
-    # larger buckets: every row is compared with every other one of its bucket, in salted parts
-    more = buckets.where("n > 2").select("block", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
-    full = prints.select("cls", "s0", "s1", F.explode("blocks").alias("block")).join(more, "block").distinct()
-    left = full.withColumn("part", F.pmod(F.hash("cls"), "parts"))
-    right = full.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    many = left.alias("a").join(right.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.cls") < F.col("b.cls")) & near)
-    many = many.select(F.col("a.cls").alias("lo"), F.col("b.cls").alias("hi"))
-    pairs = cut(two.unionByName(many).distinct(), "candidates")
+    far = lambda a, b: F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))) + F.bit_count(F.col(f"{a}.s1").bitwiseXOR(F.col(f"{b}.s1")))
+    pairs = bucket_pairs(prints.select("cls", "s0", "s1", "blocks"), ["s0", "s1"], lambda a, b: far(a, b) <= hamming)
 
     wanted = pairs.select(F.explode(F.array("lo", "hi")).alias("cls")).distinct()
     named = prints.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id"))

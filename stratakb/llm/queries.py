@@ -10,12 +10,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratakb.llm import bpe, knn, neardup, packing
+from stratakb.llm import bpe, furniture, knn, neardup, packing, residue, truncation
 from stratakb.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# --- 1: cut values -----------------------------------------------------------------------------------
+
+
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    """(chunk_id, field) of the summaries and contents that break off."""
+    return truncation.truncated(table(spark, at, "chunks")).select("chunk_id", "field")
+
+
+def p1_source_rates(spark: SparkSession, at: str) -> DataFrame:
+    """Per source and column, how many non-empty values there are and which share was cut."""
+    return truncation.source_rates(table(spark, at, "chunks"))
+
+
 # --- 2: most similar vectors -------------------------------------------------------------------------
 
 
@@ -73,6 +86,40 @@ def p3_groups(spark: SparkSession, at: str) -> DataFrame:
     return neardup.similar_groups(chunk_texts(spark, at), **NEAR).withColumnRenamed("id", "chunk_id")
 
 
+# --- 4: residue --------------------------------------------------------------------------------------
+
+
+def residue_records(spark: SparkSession, at: str) -> DataFrame:
+    chunks = table(spark, at, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("record_id"), F.col("content").alias("text"), "title")
+    answers = table(spark, at, "qa_answers").select(F.lit("qa_answers").alias("record_table"), F.col("answer_id").alias("record_id"), F.col("answer").alias("text"), F.lit(None).cast("string").alias("title"))
+    return chunks.unionByName(answers)
+
+
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    """(record_table, record_id) of contents and answers that hold or are residue."""
+    return residue.residue(residue_records(spark, at))
+
+
+def p4_clean_chunks(spark: SparkSession, at: str) -> DataFrame:
+    """Chunks, once each, without the records of p4_found."""
+    gone = p4_found(spark, at).where("record_table = 'chunks'").select(F.col("record_id").alias("chunk_id"))
+    return table(spark, at, "chunks").join(gone, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
+
+
+# --- 5: page furniture -------------------------------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    """(chunk_id, line_no) of lines of the page around the article."""
+    return furniture.furniture_lines(table(spark, at, "chunks"))
+
+
+def p5_content(spark: SparkSession, at: str) -> DataFrame:
+    """(chunk_id, content) without those lines."""
+    chunks = table(spark, at, "chunks")
+    return furniture.without_lines(chunks, cut(furniture.furniture_lines(chunks), "furniture"))
+
+
 # --- 6 and 7: tokens and containers ------------------------------------------------------------------
 
 
@@ -96,6 +143,12 @@ def p7_containers(spark: SparkSession, at: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p1_found": p1_found,
+    "p1_source_rates": p1_source_rates,
+    "p4_found": p4_found,
+    "p4_clean_chunks": p4_clean_chunks,
+    "p5_found": p5_found,
+    "p5_content": p5_content,
     "p2_found": p2_found,
     "p2_topk": p2_topk,
     "p3_found": p3_found,

@@ -36,7 +36,7 @@ PHRASES = {
     "paging": r"(previous|prev|« ?previous|‹ ?prev)?[\s\d.…|·‹›«»<>-]*(next)?( page| ?[›»])?|page \d+ (of|/) \d+|\d+ (of|/) \d+|(上一页)?[\s\d.…]*(下一页)?|第 ?\d+ ?页.{0,10}|(zurück)?[\s\d.…]*(weiter)?|seite \d+ (von|/) \d+|(précédent)?[\s\d.…]*(suivant)?|page \d+ (sur|/) \d+|(anterior)?[\s\d.…]*(siguiente)?|página \d+ (de|/) \d+",
     "reading": r"(estimated )?reading time.{0,20}|(tags|filed under|posted in) ?: ?\d+ more|tags ?: ?\d+.{0,12}|(schlagwörter|étiquettes|etiquetas|mots-clés|标签)[ ：:]+.{0,20}\d+.{0,12}|\d+ min(ute)?s? read|download (as )?pdf|last (updated|modified)( on)? ?:? ?[\d./ -]+|阅读时间.{0,12}|下载 ?pdf|(geschätzte )?lesezeit.{0,20}|als pdf (herunterladen|speichern)|temps de lecture.{0,20}|télécharger (en|le) pdf|tiempo de lectura.{0,20}|descargar (en|como)? ?pdf",
     "copyright": r"(©|\(c\)|copyright\b|版权所有).{0,90}|.{0,60}(all rights reserved|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|版权所有|保留所有权利)",
-    "button": r"(accept|allow|reject|decline|refuse)( all)?( cookies)?|got it|ok(ay)?|i (agree|accept|understand)|(only necessary|necessary only|essential only)|(more options|manage (choices|preferences|cookies|options)|customi[sz]e|settings)|知道了|(全部)?(接受|拒绝|同意)|仅(限)?必要(项|的)?( cookie)?|更多选项|(alle )?(akzeptieren|ablehnen|annehmen)|verstanden|nur (notwendige|erforderliche)|(weitere optionen|einstellungen)|(tout )?(accepter|refuser)|j'ai compris|continuer sans accepter|uniquement (les )?nécessaires|(personnaliser|plus d'options)|(aceptar|rechazar)( todo| todas)?|entendido|(solo|sólo) las necesarias|(configurar|más opciones)",
+    "button": r"(accept|allow|reject|decline|refuse)( all)?( cookies)?|got it|ok(ay)?|i (agree|accept|understand)|(only necessary|necessary only|essential only)|(more options|manage (choices|preferences|cookies|options)|customi[sz]e|settings)|知道了|zustimmen|einverstanden|(全部)?(接受|拒绝|同意)|仅(限)?必要(项|的)?( cookie)?|更多选项|(alle )?(akzeptieren|ablehnen|annehmen)|verstanden|nur (notwendige|erforderliche)|(weitere optionen|einstellungen)|(tout )?(accepter|refuser)|j'ai compris|continuer sans accepter|uniquement (les )?nécessaires|(personnaliser|plus d'options)|(aceptar|rechazar)( todo| todas)?|entendido|(solo|sólo) las necesarias|(configurar|más opciones)",
     "consent": r"(we|this (web ?)?(site|page)|our (site|website)|cookies) (and our [\w ]+ )?(use|uses|set|store|stores|place|places|help|process)\b.{0,140}|your privacy (matters|is important|settings).{0,100}|before you continue.{0,140}|by (staying|continuing|using|browsing|clicking).{0,100}(agree|accept|consent).{0,60}"
     r"|.{0,30}(我们|本站|本网站|继续浏览).{0,40}cookies?.{0,60}|.{0,20}(重视|尊重)您的隐私.{0,40}|(wir|diese (web)?seite) (und unsere .{0,30} )?(verwenden|verwendet|nutzen|nutzt|setzen|setzt|speichert)\b.{0,30}(cookies?|dateien|daten).{0,90}|ihre privatsphäre.{0,90}|mit (dem|ihrem) (weiteren )?besuch.{0,90}"
     r"|(nous|ce site|notre site).{0,40}(cookies?|traceurs|témoins).{0,90}|votre vie privée.{0,90}|en (poursuivant|continuant).{0,60}(acceptez|cookies?).{0,60}|(usamos|utilizamos|este sitio (usa|utiliza|guarda)|nosotros y nuestros).{0,40}(cookies?|rastreadores|archivos|datos|socios).{0,90}|su privacidad.{0,90}|al (continuar|seguir) .{0,60}(acepta|cookies?).{0,60}",

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratakb.llm import bpe, furniture, knn, neardup, packing, residue, truncation
+from stratakb.llm import bpe, furniture, knn, moderation, neardup, packing, residue, truncation
 from stratakb.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +142,31 @@ def p7_containers(spark: SparkSession, at: str) -> DataFrame:
     return packing.containers(packing.pack(token_sizes(spark, at)))
 
 
+# --- 8: abusive, hateful and sexual content ----------------------------------------------------------
+
+
+def p8_scores(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, score, sentence, sentence_no, sentence_score) of every document."""
+    model = moderation.train(table(spark, at, "moderation_examples"))
+    return moderation.score(table(spark, at, "documents"), model)
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id) of the documents with such content."""
+    return p8_scores(spark, at).where(F.col("score") >= moderation.THRESHOLD).select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, at: str) -> DataFrame:
+    """Documents, offending documents and their share per source; a null source is ''."""
+    scores = p8_scores(spark, at).select("doc_id", "score").join(table(spark, at, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    found = F.sum((F.col("score") >= moderation.THRESHOLD).cast("long"))
+    return scores.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), found.alias("found")).withColumn("share", F.round(F.col("found") / F.col("documents"), 6))
+
+
 QUERIES: dict[str, Query] = {
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
     "p1_found": p1_found,
     "p1_source_rates": p1_source_rates,
     "p4_found": p4_found,

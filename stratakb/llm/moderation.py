@@ -64,8 +64,8 @@ PHRASES = {
     "zh_you": r"你|您",
 }
 PATTERN = {name: re.compile(body) for name, body in PHRASES.items()}
-FEATURES = ("bias", "insult", "insult_you", "insult_adj", "adj_you", "profane", "profane_you", "hostile", "threat", "harm_you", "hate", "group_demean", "group_insult", "sexual", "sex_many", "sex_one", "explicit", "sex_profane", "zh_insult", "zh_hate")
-PRIOR = np.array([-9.0, 6.0, 5.0, 4.5, 1.5, 0.8, 1.5, 10.5, 10.5, 2.5, 10.5, 7.0, 5.0, 10.5, 3.6, 1.5, 8.5, 3.0, 10.5, 10.5])
+FEATURES = ("bias", "insult", "insult_you", "insult_adj", "insult_profane", "adj_you", "profane", "profane_you", "hostile", "threat", "harm_you", "hate", "group_demean", "group_insult", "sexual", "sex_many", "sex_one", "explicit", "sex_profane", "zh_insult", "zh_hate")
+PRIOR = np.array([-9.0, 6.0, 5.0, 4.5, 3.0, 1.5, 0.8, 1.5, 10.5, 10.5, 2.5, 10.5, 7.0, 5.0, 10.5, 3.6, 1.5, 8.5, 3.0, 10.5, 10.5])
 HOMOGLYPHS = str.maketrans(
     "аеорсухіјѕԁһԛԝкмтвнзьАЕОРСУХІЈЅВКМНТαεορτυικνχΑΒΕΖΗΙΚΜΝΟΡΤΥΧɑɡıǃ",
     "aeopcyxijsdhqwkmtbh3bAEOPCYXIJSBKMHTaeoptuikvxABEZHIKMNOPTYXagi!",
@@ -172,6 +172,8 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
             put("insult_you")
         if "slur_adj" in count:
             put("insult_adj")
+        if "profane" in count:
+            put("insult_profane")
         if "group" in count:
             put("group_insult")
     if "slur_adj" in count and you:
@@ -236,7 +238,7 @@ def noisy_or(logits: list[float]) -> float:
     return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: float = 3.0, gram_scale: float = 0.3, step: float = 0.25) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: float = 1.5, gram_scale: float = 0.3, step: float = 0.25) -> Model:
     """Fit the model to document labels through the noisy-or, by gradient ascent with momentum.
 
     lexicon_scale and gram_scale are the standard deviations of the Gaussian priors. Rows with a null

@@ -122,9 +122,9 @@ def first_paragraph(text: Column, most: int = 500) -> Column:
 
 def truncate_utf8(text: Column, most: int) -> Column:
     """Longest prefix of at most `most` bytes that ends at a character."""
-    data = F.substring(F.encode(text, "UTF-8"), 1, most)
-    cut = F.decode(data, "UTF-8")
-    return F.when(F.octet_length(text) <= most, text).otherwise(F.regexp_replace(cut, "�+$", ""))
+    raw = F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")
+    whole = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "\ufffd+$", ""))
+    return F.when(F.octet_length(text) <= most, text).otherwise(whole)
 
 
 def scenario(question: Column) -> Column:

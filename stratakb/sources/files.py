@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -32,7 +33,7 @@ def frontmatter(text: Column) -> Column:
     values = F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[A-Za-z_][\w-]*[ \t]*:[ \t]*(.*)$"), F.lit(1)), lambda v: F.regexp_replace(F.trim(v), r'^"(.*)"$', "$1"))
     # of a repeated key the last line counts
     pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["0"] == p["0"]))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.when(block != "", F.map_from_entries(last))
 
 
@@ -43,7 +44,7 @@ def body(text: Column) -> Column:
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, meta, body, modified) of the *.md files under a folder; doc_id is the file's stem."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).text(path, wholetext=True)
     named = rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.md$", "").alias("doc_id"), F.col("value"), F.col("_metadata.file_modification_time").alias("modified"))
     return named.select("doc_id", frontmatter(F.col("value")).alias("meta"), body(F.col("value")).alias("body"), "modified")
 
@@ -163,7 +164,9 @@ class _Markdown(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skip:
             return
-        text = data if self.pre else " ".join(data.split()) and (" " * data[:1].isspace() + " ".join(data.split()) + " " * data[-1:].isspace())
+        text = data if self.pre else re.sub(r"\s+", " ", data)
+        if not self.pre and (not self.out or self.out[-1].endswith("\n")):
+            text = text.lstrip()
         if self.cells:
             self.cells[-1] += text
         elif self.cells is None:

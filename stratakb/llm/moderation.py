@@ -46,24 +46,30 @@ LEXICON = {
     " abschaum ungeziefer ratten untermenschen menschen dreck blöd dumm raus müll pack seuche kriminell* minderwertig* vergasen abschieben gehören"
     " vermine sous-hommes rats dehors cafards racaille sauvages parasites inférieur* dégage* brûler pendre crasse peste"
     " ratas basura plaga alimañas echen escoria sirven inferiores salvajes fuera animales cucarachas parásitos quemar expulsar",
-    "harm": "kill* murder* slit smash* burn* stab* shoot* hang* strangle* beat* beating whip* break* bury rape* choke* breathing throat fingers face kneecaps skull house die dead suicide drown* bleed* rope bullet"
+    "harm": "kill* murder* slit smash* burn* stab stabs stabbed stabbing shoot* hang* strangle* beat* beating whip* break* bury rape* choke* breathing throat fingers face kneecaps skull house dead suicide drown* bleed* rope bullet"
     " töten umbringen sterben anzünden verprügeln erschießen abstechen fresse aufhängen haus schlagen kaltmachen"
     " tuer crever brûler frapper égorger pendre casser gueule buter maison cogner"
     " matar morir quemar partir cara degollar pegar reventar casa machacar romper piernas",
 }
 # Phrases that say it by themselves, matched in the canonical sentence.
 PHRASES = {
-    "hostile": r"\bkill (?:your|ur)self\b|\bdrop dead\b|\bgo to hell\b|\bget lost\b|\bpiss off\b|\beat dirt\b|\bshut (?:the )?(?:fuck |hell )?up\b|\bcrawl back\b|\bjump off\b|\bstop breathing\b|\bhang yourself\b|\bnobody wants you\b|\bgo (?:and )?(?:die|rot)\b|\bfuck (?:you|off)\b|\bscrew you\b|\bi hope you (?:choke|die|rot|burn|suffer)|\bsick of you\b|\bashamed of (?:raising|you)\b|\bspare us\b|\bdo us all a favou?r\b|\bjust quit\b|\bhalt (?:endlich )?(?:die |deine )?(?:fresse|klappe|maul|schnauze)\b|\bgeh sterben\b|\bverpiss dich\b|\bleck mich\b|\bferme ta gueule\b|\bta gueule\b|\bcasse-toi\b|\bva (?:te faire|crever|mourir|en enfer)\b|\bnique ta\b|\bvete a la (?:mierda|verga)\b|\bvete al (?:infierno|carajo)\b|\bojal[áa] (?:te )?(?:revientes|mueras)\b|\bque te den\b|\bcierra (?:la boca|el pico)\b"
-    r"|去死|不得好死|滚(?:出去|开|蛋|吧)|闭嘴|你妈|他妈的|操你|草泥马|死全家|怎么不死",
-    "threat": r"\bwe know where you live\b|\bi(?: will|'ll| am going to|'m going to| come over)\b.{0,40}\b(?:smash|break|kill|burn|hurt|find|beat|cut|slit|shoot|bury|rape|rip)\b|\b(?:we|somebody|someone|they)(?: will| ought to| should)? (?:burn|smash|slit|break|kill|shoot|beat|hang|bury)\b.{0,30}\b(?:you|your|house|throat|face|homes?)\b|\bdeserves? (?:a|to (?:be|die|suffer))\b.{0,20}(?:beating|whipp|beat|shot|die|hang|suffer)|\bshould be (?:put down|whipped|shot|hanged|gassed|driven out|sterili[sz]ed|locked up|killed|burned|beaten)\b|\bput down like\b|\bslit your throat\b|\bsmash your face\b|\brope and a tree\b|\bburn (?:your|the) (?:house|homes?)\b|\b(?:dir|euch) sollte man\b|\b(?:ich|wir) (?:werde|werden|bringe|schlage|mache?)\b.{0,30}\b(?:dich|dir|euch)\b.{0,20}\b(?:um|kalt|tot|töten|fertig|finden)\b|\bon va te\b.{0,30}\b(?:brûler|tuer|casser|buter|crever|frapper|retrouver)\b|\bje vais te\b.{0,20}\b(?:tuer|casser|buter|crever|égorger|frapper)\b|\bte (?:vamos|voy) a\b.{0,20}\b(?:partir|matar|romper|quemar|reventar|machacar|encontrar|degollar)\b|(?:弄死|打死|砍死|杀了|烧了|捅死|打断).{0,6}(?:你|你们|全家|腿)|(?:小心|知道)你(?:家|住)|等着(?:瞧|收尸)",
-    "hate": r"\b(?:less than human|subhumans?|inferior (?:breed|race|people)|untermenschen|keine menschen|sous-hommes|no son personas|belongs? in (?:cages?|camps?|ovens?|zoos?)|only understands? the whip|criminals? by (?:nature|birth)|too (?:dumb|stupid|lazy|dirty)\b|their blood|blood is bad|is a sewer|driven out|(?:ruin|destroy)s? (?:the|our|this) country|cleaner without|not let .{1,40} breed|a mile away|zu blöd für|gehören (?:in|hinter|vergast|weg|raus)|de la vermine|no sirven para|una plaga|que los echen|basura humana|nur ungeziefer|sollen? verschwinden)|(?:都是|全是|就是)(?:垃圾|害虫|畜生|人渣|蛀虫|废物|劣等|猪|狗|贼|罪犯|蟑螂|低等)|赶出去|(?:滚回|滚出).{0,6}|劣等(?:民族|人种)|不配(?:做人|活)|不是人",
-    "sexual": r"\bwet pussy\b|\bbig cocks?\b|\bcam (?:room|girls?)\b|\bnude (?:cam|girls|pics)\b|\b(?:hot|horny) (?:naked|girls|wives|singles|moms)\b|\bhardcore sex\b|\bsend (?:me )?nudes\b|\bon (?:her|his|your) knees\b|\bclothes off\b|\bscrew you (?:on|hard)\b|\bfuck me\b|\bbent over\b|\b(?:lonely|horny|bored) (?:wives|singles|moms|housewives)\b|\badults only\b|\bstrip on cam\b|\bwith nothing on\b|\bbetween (?:her|his|your) thighs\b|\bbegged for more\b|\bthrust into\b|\btore off (?:their|her|his)\b|\b(?:her|his) tits\b|\banything you want naked\b|\bcome to bed\b|\bdich (?:hart|nackt|ficken)\b|\bnackt auf\b|\bauf dem tisch nehmen\b|\bnackte (?:frauen|mädchen)\b|\bte (?:baiser|prendre nue)\b|\bprendre nue\b|\bnue sur\b|\bà poil\b|\bverte desnud|\bfollarte\b|\bsexo (?:duro|en vivo)\b|\bchicas desnudas\b|\bdesnuda de\b|做爱|裸照|脱光|上床做|约炮|色情|淫荡|口交|自慰|裸聊|小穴|鸡巴|阴道|肉棒|操逼|激情视频",
-    "zh_insult": r"蠢猪|垃圾人|废物|白痴|傻[逼比叉缺]|脑残|贱[人货]|畜生|王八蛋|混蛋|人渣|狗(?:东西|杂种|娘养的|屎)|杂种|婊子|智障|蠢货|猪头|妓女|骚货|臭(?:婊|傻)|死(?:妈|胖子)|败类",
-    "zh_group": r"移民|残疾人|外地人|女人|女的|黑人|穆斯林|同性恋|老人|老年人|难民|外国人|少数民族|犹太人|农民工|乡下人|跨性别|那个民族|信徒|教徒",
-    "zh_demean": r"垃圾|害虫|畜生|人渣|蛀虫|废物|劣等|低等|赶出去|滚|罪犯|寄生虫|蟑螂|老鼠|不配|肮脏|下贱|该死|不该生",
-    "zh_you": r"你|您",
+    "hostile": r"\bkill (?:your|ur)self\b|\bdrop dead\b|\bgo to hell\b|\bget lost\b|\bpiss off\b|\beat dirt\b|\bshut (?:the )?(?:fuck |hell )?up\b|\bcrawl back\b|\bjump off\b|\bstop breathing\b|\bhang yourself\b|\bnobody wants you\b|\bgo (?:and )?(?:die|rot)\b|\bfuck (?:you|off)\b|\bscrew you\b|\bi hope you (?:choke|die|rot|burn|suffer)|\bsick of you\b|\bashamed of (?:raising|you)\b|\bspare us\b|\bdo us all a favou?r\b|\bjust quit\b|\bhalt (?:endlich )?(?:die |deine )?(?:fresse|klappe|maul|schnauze)\b|\bgeh sterben\b|\bverpiss dich\b|\bleck mich\b|\bferme ta gueule\b|\bta gueule\b|\bcasse-toi\b|\bva (?:te faire|crever|mourir|en enfer)\b|\bnique ta\b|\bvete a la (?:mierda|verga)\b|\bvete al (?:infierno|carajo)\b|\bojal[áa] (?:te )?(?:revientes|mueras)\b|\bque te den\b|\bcierra (?:la boca|el pico)\b",
+    "threat": r"\bwe know where you live\b|\bi(?: will|'ll| am going to|'m going to| come over)\b.{0,40}\b(?:smash|break|kill|burn|hurt|find|beat|cut|slit|shoot|bury|rape|rip)\b|\b(?:we|somebody|someone|they)(?: will| ought to| should)? (?:burn|smash|slit|break|kill|shoot|beat|hang|bury)\b.{0,30}\b(?:you|your|house|throat|face|homes?)\b|\bdeserves? (?:a|to (?:be|die|suffer))\b.{0,20}(?:beating|whipp|beat|shot|die|hang|suffer)|\bshould be (?:put down|whipped|shot|hanged|gassed|driven out|sterili[sz]ed|locked up|killed|burned|beaten)\b|\bput down like\b|\bslit your throat\b|\bsmash your face\b|\brope and a tree\b|\bburn (?:your|the) (?:house|homes?)\b|\b(?:dir|euch) sollte man\b|\b(?:ich|wir) (?:werde|werden|bringe|schlage|mache?)\b.{0,30}\b(?:dich|dir|euch)\b.{0,20}\b(?:um|kalt|tot|töten|fertig|finden)\b|\bon va te\b.{0,30}\b(?:brûler|tuer|casser|buter|crever|frapper|retrouver)\b|\bje vais te\b.{0,20}\b(?:tuer|casser|buter|crever|égorger|frapper)\b|\bte (?:vamos|voy) a\b.{0,20}\b(?:partir|matar|romper|quemar|reventar|machacar|encontrar|degollar)\b",
+    "hate": r"\b(?:less than human|subhumans?|inferior (?:breed|race|people)|untermenschen|keine menschen|sous-hommes|no son personas|belongs? in (?:cages?|camps?|ovens?|zoos?)|only understands? the whip|criminals? by (?:nature|birth)|too (?:dumb|stupid|lazy|dirty)\b|their blood|blood is bad|is a sewer|driven out|(?:ruin|destroy)s? (?:the|our|this) country|cleaner without|not let .{1,40} breed|a mile away|zu blöd für|gehören (?:in|hinter|vergast|weg|raus)|de la vermine|no sirven para|una plaga|que los echen|basura humana|nur ungeziefer|sollen? verschwinden)",
+    "sexual": r"\bwet pussy\b|\bbig cocks?\b|\bcam (?:room|girls?)\b|\bnude (?:cam|girls|pics)\b|\b(?:hot|horny) (?:naked|girls|wives|singles|moms)\b|\bhardcore sex\b|\bsend (?:me )?nudes\b|\bon (?:her|his|your) knees\b|\bclothes off\b|\bscrew you (?:on|hard)\b|\bfuck me\b|\bbent over\b|\b(?:lonely|horny|bored) (?:wives|singles|moms|housewives)\b|\badults only\b|\bstrip on cam\b|\bwith nothing on\b|\bbetween (?:her|his|your) thighs\b|\bbegged for more\b|\bthrust into\b|\btore off (?:their|her|his)\b|\b(?:her|his) tits\b|\banything you want naked\b|\bcome to bed\b|\bdich (?:hart|nackt|ficken)\b|\bnackt auf\b|\bauf dem tisch nehmen\b|\bnackte (?:frauen|mädchen)\b|\bte (?:baiser|prendre nue)\b|\bprendre nue\b|\bnue sur\b|\bà poil\b|\bverte desnud|\bfollarte\b|\bsexo (?:duro|en vivo)\b|\bchicas desnudas\b|\bdesnuda de\b",
+}
+PHRASES_ZH = {
+    "hostile": r"去死|不得好死|滚(?:出去|开|蛋|吧)|闭嘴|你妈|他妈的|操你|草泥马|死全家|怎么不死",
+    "threat": r"(?:弄死|打死|砍死|杀了|烧了|捅死|打断).{0,6}(?:你|你们|全家|腿)|(?:小心|知道)你(?:家|住)|等着(?:瞧|收尸)",
+    "hate": r"(?:都是|全是|就是)(?:垃圾|害虫|畜生|人渣|蛀虫|废物|劣等|猪|狗|贼|罪犯|蟑螂|低等)|赶出去|(?:滚回|滚出).{0,6}|劣等(?:民族|人种)|不配(?:做人|活)|不是人",
+    "sexual": r"做爱|裸照|脱光|上床做|约炮|色情|淫荡|口交|自慰|裸聊|小穴|鸡巴|阴道|肉棒|操逼|激情视频",
+    "insult": r"蠢猪|垃圾人|废物|白痴|傻[逼比叉缺]|脑残|贱[人货]|畜生|王八蛋|混蛋|人渣|狗(?:东西|杂种|娘养的|屎)|杂种|婊子|智障|蠢货|猪头|妓女|骚货|臭(?:婊|傻)|死(?:妈|胖子)|败类",
+    "group": r"移民|残疾人|外地人|女人|女的|黑人|穆斯林|同性恋|老人|老年人|难民|外国人|少数民族|犹太人|农民工|乡下人|跨性别|那个民族|信徒|教徒",
+    "demean": r"垃圾|害虫|畜生|人渣|蛀虫|废物|劣等|低等|赶出去|滚|罪犯|寄生虫|蟑螂|老鼠|不配|肮脏|下贱|该死|不该生",
 }
 PATTERN = {name: re.compile(body) for name, body in PHRASES.items()}
+PATTERN_ZH = {name: re.compile(body) for name, body in PHRASES_ZH.items()}
+ANY_ZH = re.compile("|".join(PHRASES_ZH.values()))
 FEATURES = ("bias", "insult", "insult_you", "insult_adj", "insult_profane", "adj_you", "profane", "profane_you", "hostile", "threat", "harm_you", "hate", "group_demean", "group_insult", "sexual", "sex_many", "sex_one", "explicit", "sex_profane", "zh_insult", "zh_hate")
 PRIOR = np.array([-9.0, 6.0, 5.0, 4.5, 3.0, 1.5, 0.8, 1.5, 10.5, 10.5, 2.5, 10.5, 7.0, 5.0, 10.5, 3.6, 1.5, 8.5, 3.0, 10.5, 10.5])
 HOMOGLYPHS = str.maketrans(
@@ -129,6 +135,19 @@ def _starred(match: re.Match) -> str:
     return word
 
 
+class _Signs(dict):
+    """Token to what may have to be undone in it: 1 stretched letters, 2 digits for letters, 4 stars, 8 single letters."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[token] = bool(RUNS.search(token)) | 2 * bool(LEET.search(token)) | 4 * ("*" in token and bool(STARS.search(token))) | 8 * bool(len(re.sub(r"\W|_", "", token)) == 1 or SPACED.search(token))
+        return got
+
+
+SIGNS = _Signs()
+
+
 def canonical(text: str) -> str:
     """Lower case with look-alike letters, letter spacing, digits for letters, stars and stretched letters undone."""
     text = INVISIBLE.sub("", text)
@@ -136,17 +155,27 @@ def canonical(text: str) -> str:
         text = unicodedata.normalize("NFKC", text)
         text = re.sub(r"(?<=[a-zA-Z])[Ѐ-ӿͰ-ϿԀ-ԯɑɡ]+|[Ѐ-ӿͰ-ϿԀ-ԯɑɡ]+(?=[a-zA-Z])", lambda m: m.group(0).translate(HOMOGLYPHS), text)
     text = text.lower()
-    text = SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m.group(0)), text)
-    if "*" in text:
+    signs = 0
+    for sign in map(SIGNS.__getitem__, text.split()):
+        signs |= sign
+    if signs & 8:
+        text = SPACED.sub(lambda m: re.sub(r"[^\w]|_", "", m.group(0)), text)
+    if signs & 4:
         text = STARS.sub(_starred, text)
-    text = LEET.sub(lambda m: m.group(0).translate(LEET_MAP), text)
-    return RUNS.sub(r"\1", text)
+    if signs & 2:
+        text = LEET.sub(lambda m: m.group(0).translate(LEET_MAP), text)
+    return RUNS.sub(r"\1", text) if signs & 1 else text
 
 
 def sentences(text: str) -> list[str]:
     return [s for s in SPLIT.split(text) if s and not s.isspace()]
 
 
+def _said(name: str, sentence: str, count: dict[str, int], cjk: bool) -> bool:
+    """Whether a phrase of the kind is in the sentence; Latin ones only stand beside words of the lexicon."""
+    return bool(count and PATTERN[name].search(sentence)) or (cjk and PATTERN_ZH[name].search(sentence) is not None)
+
+
 def features(sentence: str, words: list[str]) -> dict[str, float]:
     """The lexicon features of a canonical sentence, without the bias."""
     count: dict[str, int] = {}
@@ -156,9 +185,8 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
             count[name] = count.get(name, 0) + 1
             if name == "sex":
                 sex.add(w)
-    cjk = CJK.search(sentence) is not None
-    telling = count.keys() - {"you", "group", "slur_adj"}
-    if not telling and not cjk and not (count.keys() & {"slur_adj", "group", "you"}):
+    cjk = CJK.search(sentence) is not None and ANY_ZH.search(sentence) is not None
+    if not count and not cjk:
         return {}
     out: dict[str, float] = {}
     you = "you" in count
@@ -182,17 +210,17 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
         put("profane")
         if you:
             put("profane_you")
-    if "hostile" in count or PATTERN["hostile"].search(sentence):
+    if "hostile" in count or _said("hostile", sentence, count, cjk):
         put("hostile")
-    if PATTERN["threat"].search(sentence):
+    if _said("threat", sentence, count, cjk):
         put("threat")
     if "harm" in count and you:
         put("harm_you")
     if "group" in count and "demean" in count:
         put("group_demean")
-    if ("group" in count or cjk or re.search(r"\bthey\b|\bpeople\b", sentence)) and PATTERN["hate"].search(sentence):
+    if ("group" in count or cjk or re.search(r"\bthey\b|\bpeople\b", sentence)) and _said("hate", sentence, count, cjk):
         put("hate")
-    if PATTERN["sexual"].search(sentence):
+    if _said("sexual", sentence, count, cjk):
         put("sexual")
     if len(sex) >= 2:
         put("sex_many", float(min(len(sex) - 1, 3)))
@@ -203,9 +231,9 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
     if sex and "profane" in count:
         put("sex_profane")
     if cjk:
-        if PATTERN["zh_insult"].search(sentence):
+        if PATTERN_ZH["insult"].search(sentence):
             put("zh_insult")
-        if PATTERN["zh_group"].search(sentence) and PATTERN["zh_demean"].search(sentence):
+        if PATTERN_ZH["group"].search(sentence) and PATTERN_ZH["demean"].search(sentence):
             put("zh_hate")
     return out
 

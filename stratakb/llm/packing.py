@@ -14,6 +14,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratakb.session import cut
+
 CAPACITY = 2048
 PARTS = 64
 
@@ -54,8 +56,8 @@ def pieces(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     """(key, start, length): an item of up to capacity whole, a longer one cut at multiples of the capacity."""
     sizes = sizes.where("size >= 1")
     steps = F.sequence(F.lit(0), ((F.col("size") - 1) / capacity).cast("int"))
-    cut = sizes.select(key, "size", F.explode(steps).alias("k"))
-    return cut.select(key, (F.col("k") * capacity).cast("int").alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("k") * capacity).cast("int").alias("length"))
+    steps = sizes.select(key, "size", F.explode(steps).alias("k"))
+    return steps.select(key, (F.col("k") * capacity).cast("int").alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("k") * capacity).cast("int").alias("length"))
 
 
 def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, parts: int = PARTS) -> DataFrame:
@@ -66,24 +68,20 @@ def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, parts:
     """
     spark = sizes.sparkSession
     items = pieces(sizes.select(key, F.col("size").cast("int")), key, capacity).withColumn("part", F.pmod(F.xxhash64(key, "start"), F.lit(parts)).cast("int"))
-    counts = items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    cells = [(r["length"], r["part"], r["n"]) for r in counts.collect()]  # at most capacity * parts rows
-    total: Counter[int] = Counter()
-    offsets = []
-    for length, part, n in sorted(cells):
-        offsets.append((length, part, total[length]))
-        total[length] += n
+    counts = cut(items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.broadcast(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))  # capacity * parts rows at most
     slots, used = [], Counter()
-    for first, times, filling in plan(dict(total), capacity):
+    for first, times, filling in plan(total, capacity):
         for length, each in filling.items():
             slots.append((length, used[length], used[length] + times * each, first, each))
             used[length] += times * each
     runs: dict[int, list] = {}
     for length, lo, hi, first, each in slots:
         runs.setdefault(length, []).append((lo, hi, first, each))
-    if not offsets:
+    if not runs:
         return items.select(F.lit(0).cast("long").alias("container_id"), key, "start", F.col("start").alias("end")).limit(0)
-    offset = F.broadcast(spark.createDataFrame(offsets, "length int, part int, offset long"))  # capacity * parts rows at most
     table = F.broadcast(spark.createDataFrame([(n, [tuple(x) for x in r]) for n, r in runs.items()], "length int, runs array<struct<lo:long,hi:long,first:long,each:long>>"))  # capacity rows
     ranked = items.join(offset, ["length", "part"]).withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(key, "start")) - 1 + F.col("offset"))
     run = F.filter("runs", lambda r: (F.col("rank") >= r["lo"]) & (F.col("rank") < r["hi"]))[0]

@@ -169,3 +169,22 @@ def strip_markup(html: Column) -> Column:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     html = F.regexp_replace(html, r"(?is)<link\b[^>]*rel=[\"']?(?:preload|prefetch|dns-prefetch|preconnect|modulepreload)[^>]*>", "")
     return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+
+
+def json_block(text: Column) -> Column:
+    """The outermost braces of a model's answer, with a code fence around them or not; null without any."""
+    return F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
+
+
+def frontmatter_of(fields: dict[str, Column]) -> Column:
+    """Frontmatter block of the fields that are neither null nor blank, values as JSON strings where they need quotes."""
+    lines = [
+        F.when(F.length(F.trim(v)) > 0, F.concat(F.lit(f"{k}: "), F.when(v.rlike(r"^[\w./:@+-]+$"), v).otherwise(F.concat(F.lit('"'), F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"')))))
+        for k, v in fields.items()
+    ]
+    return F.concat(F.lit("---\n"), F.array_join(F.array_compact(F.array(*lines)), "\n"), F.lit("\n---\n"))
+
+
+def normal_text(text: Column) -> Column:
+    """Without byte-order mark, line ends as LF."""
+    return F.regexp_replace(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"^\x{feff}", "")

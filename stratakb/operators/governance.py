@@ -83,3 +83,24 @@ def conflicts(docs: DataFrame, group: str) -> DataFrame:
     marked = docs.withColumn("number", dates.priority_number(F.col("priority"))).withColumn("low", low.cast("long"))
     out = marked.groupBy(group).agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("kind").alias("types"), F.count_distinct("priority").alias("priorities"), F.sum("low").alias("lower"))
     return out.where("types > 1 or priorities > 1")
+
+
+def arbitrate(docs: DataFrame, group: str) -> DataFrame:
+    """The document that wins each group: best priority, then newest, then smallest id; tied says whether the first two decide."""
+    number = dates.priority_number(F.col("priority"))
+    order = Window.partitionBy(group).orderBy(number, F.col("fetched").desc_nulls_last(), "doc_id")
+    same = Window.partitionBy(group, number, "fetched")
+    ranked = docs.withColumn("_rank", F.row_number().over(order)).withColumn("tied", F.count(F.lit(1)).over(same) > 1)
+    return ranked.where("_rank = 1").drop("_rank")
+
+
+def guard_schema(df: DataFrame, required: dict[str, str], vector: str | None = None, dim: int | None = None) -> DataFrame:
+    """df, after a check that it has the required columns and types; rows whose vector has another length fail on reading."""
+    have = {f.name: f.dataType.simpleString() for f in df.schema}
+    wrong = [f"{n}: {have.get(n, 'missing')} instead of {t}" for n, t in required.items() if have.get(n) != t]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    if vector is None:
+        return df
+    sized = F.when(F.col(vector).isNull() | (F.size(vector) == dim), F.col(vector)).otherwise(F.raise_error(F.lit(f"{vector} must have {dim} values")))
+    return df.withColumn(vector, sized)

@@ -77,6 +77,19 @@ def priority_conflicts(spark: SparkSession, at: str) -> DataFrame:
     return governance.conflicts(pages, "page")
 
 
+def conflict_arbitration(spark: SparkSession, at: str) -> DataFrame:
+    """Which document of a page counts: best priority, then newest."""
+    pages = docs(spark, at).withColumn("page", T.url_key(F.col("url"))).where("page is not null")
+    return governance.arbitrate(pages, "page").select("page", "doc_id", "priority", "fetched", "tied")
+
+
+def frontmatter_text(spark: SparkSession, at: str) -> DataFrame:
+    """The frontmatter that each document would be written with."""
+    d = docs(spark, at)
+    block = T.frontmatter_of({"doc_id": F.col("doc_id"), "title": F.col("title"), "source_type": F.col("kind"), "fetched_at": F.col("fetched").cast("string"), "source_priority": F.col("priority")})
+    return d.select("doc_id", F.sha2(block, 256).alias("digest"), F.length(block).cast("long").alias("chars"))
+
+
 def hash_groups(spark: SparkSession, at: str) -> DataFrame:
     return governance.duplicate_groups(governance.hash_index(table(spark, at, "raw_docs")))
 
@@ -201,7 +214,7 @@ def chunk_size_class(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "documents").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (doc_catalogue, kb_stats, trust_tier_dist, stale_buckets, priority_conflicts, hash_groups, hash_backfill_class, hash_mismatches, hash_lookup_semi, hash_new_anti, url_variants, url_host_stats, url_slug_docs, url_extract, headings, vector_ingest_rows, delete_by_doc, replace_docs, removal_impact, keyword_counts, site_freshness, chunk_documents, chunk_stats, chunk_size_class)}
+QUERIES = {f.__name__: f for f in (doc_catalogue, kb_stats, trust_tier_dist, stale_buckets, priority_conflicts, conflict_arbitration, frontmatter_text, hash_groups, hash_backfill_class, hash_mismatches, hash_lookup_semi, hash_new_anti, url_variants, url_host_stats, url_slug_docs, url_extract, headings, vector_ingest_rows, delete_by_doc, replace_docs, removal_impact, keyword_counts, site_freshness, chunk_documents, chunk_stats, chunk_size_class)}
 
 ORACLE = {
     "doc_catalogue": """with d as (select doc_id, max(title) as raw_title from raw_docs where doc_id is not null group by 1),
@@ -215,6 +228,12 @@ ORACLE = {
     "priority_conflicts": f"""with {DOCS}, p as (select {URL_KEY} as page, kind, priority, substr(priority, 2)::int as number from docs),
       m as (select *, number > min(number) over (partition by page) as low from p where page is not null)
       select page, count(*) as documents, count(distinct kind) as types, count(distinct priority) as priorities, sum(low::int)::bigint as lower from m group by 1 having count(distinct kind) > 1 or count(distinct priority) > 1""",
+    "conflict_arbitration": f"""with {DOCS}, p as (select {URL_KEY} as page, doc_id, priority, fetched from docs),
+      r as (select *, row_number() over (partition by page order by priority, fetched desc nulls last, doc_id) as rank, count(*) over (partition by page, priority, fetched) > 1 as tied from p where page is not null)
+      select page, doc_id, priority, fetched, tied from r where rank = 1""",
+    "frontmatter_text": f"""with {DOCS}, v as (select doc_id, unnest(['doc_id', 'title', 'source_type', 'fetched_at', 'source_priority']) as k, unnest([doc_id, title, kind, fetched::varchar, priority]) as v, unnest([1, 2, 3, 4, 5]) as i from docs),
+      l as (select doc_id, i, k || ': ' || case when regexp_matches(v, '^[0-9A-Za-z_./:@+-]+$') then v else '"' || replace(replace(replace(v, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n') || '"' end as line from v where length(trim(v)) > 0),
+      b as (select doc_id, '---' || chr(10) || string_agg(line, chr(10) order by i) || chr(10) || '---' || chr(10) as block from l group by 1) select doc_id, sha256(block) as digest, length(block) as chars from b""",
     "hash_groups": f"with {HASHES} select actual, count(*) as documents, min(doc_id) as first_doc from hashes where actual is not null group by 1 having count(*) > 1",
     "hash_backfill_class": f"""with {HASHES} select case when not coalesce(has_frontmatter, false) then 'no_frontmatter' when declared is not distinct from actual then 'already_ok'
       when declared is null or declared = '' then 'added' else 'refreshed' end as class, count(*) as documents, sum(valid::int)::bigint as valid from hashes group by 1""",

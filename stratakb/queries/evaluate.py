@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratakb.functions import dates
 from stratakb.functions import text as T
 from stratakb.operators import evaluation, evidence
-from stratakb.queries.documents import CHUNKS, KIND, chunks_once
+from stratakb.queries.documents import CHUNKS, DOCS, KIND, chunks_once, docs
 from stratakb.session import table
 
 ANSWERS = "a as (select * from (select *, row_number() over (partition by answer_id order by logged_at desc) as rn from qa_answers where answer_id is not null) where rn = 1)"
@@ -89,8 +89,8 @@ def coverage_summary(spark: SparkSession, at: str) -> DataFrame:
     once = chunks_once(spark, at, "questions")
     asked = once.select("chunk_id", F.explode(T.clean_list(F.col("questions"))).alias("q"))
     covered = asked.select("chunk_id", F.explode(T.question_dimensions(F.col("q"))).alias("dimension")).distinct()
-    total = once.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return covered.groupBy("dimension").agg(F.count(F.lit(1)).alias("chunks")).join(F.broadcast(total)).select("dimension", "chunks", F.round(100.0 * F.col("chunks") / F.col("total"), 1).alias("percent"))
+    total = once.count()
+    return covered.groupBy("dimension").agg(F.count(F.lit(1)).alias("chunks")).select("dimension", "chunks", F.round(F.col("chunks") * 100.0 / F.lit(float(total)), 1).alias("percent"))
 
 
 def feedback_to_queries(spark: SparkSession, at: str) -> DataFrame:
@@ -126,7 +126,38 @@ def session_stats(spark: SparkSession, at: str) -> DataFrame:
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("answers"), F.sum(empty).alias("unanswered"), span.cast("long").alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (recall_overall, recall_by_group, path_contribution, eval_diff, scenario_classify, question_dimensions, coverage_summary, feedback_to_queries, feedback_consistency, session_last12, session_stats)}
+def answer_trust(spark: SparkSession, at: str) -> DataFrame:
+    """Trust of each answer: the worst tier and the greatest age among the documents its chunks come from."""
+    owner = table(spark, at, "chunks").where("doc_id is not null").select("chunk_id", "doc_id").distinct()
+    used = answers_once(spark, at).select("answer_id", F.explode(F.array_distinct("returned_chunk_ids")).alias("chunk_id")).join(owner, "chunk_id")
+    known = docs(spark, at).select("doc_id", "tier", "age")
+    out = used.join(known, "doc_id").groupBy("answer_id").agg(F.max("tier").cast("long").alias("tier"), F.max("age").cast("long").alias("age"), F.count_distinct("doc_id").alias("documents"))
+    return out.withColumn("notice", F.when(F.col("age") > 180, "refresh").when(F.col("age") > 90, "notice").otherwise("none"))
+
+
+def answer_coverage(spark: SparkSession, at: str) -> DataFrame:
+    """Per session, the share of distinct questions that got evidence and an answer."""
+    rows = answers_once(spark, at).where("session_id is not null and length(trim(question)) > 0")
+    asked = rows.groupBy("session_id", F.lower(F.trim("question")).alias("q")).agg(F.max(((F.col("evidence_count") > 0) & (F.length(F.trim("answer")) > 0)).cast("int")).alias("covered"))
+    return asked.groupBy("session_id").agg(F.count(F.lit(1)).alias("questions"), F.round(F.avg(F.coalesce("covered", F.lit(0))), 4).alias("coverage"))
+
+
+def time_windows(spark: SparkSession, at: str) -> DataFrame:
+    """Answers by the time words of questions, counted back from the last day of the log."""
+    day = F.to_date("asked_at")
+    rows = answers_once(spark, at).where("asked_at is not null").select(day.alias("day"))
+    today = F.lit(rows.agg(F.max("day")).first()[0]).cast("date")
+    windows = {
+        "recent": F.col("day") > F.date_sub(today, 30),
+        "this_week": F.col("day") >= F.date_trunc("week", today).cast("date"),
+        "this_year": F.year("day") == F.year(today),
+        "last_year": F.year("day") == F.year(today) - 1,
+    }
+    counted = rows.agg(*[F.sum(c.cast("long")).alias(n) for n, c in windows.items()])
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("span"), F.coalesce(F.col(n), F.lit(0)).alias("answers")) for n in windows])).alias("w")).select("w.span", "w.answers")
+
+
+QUERIES = {f.__name__: f for f in (recall_overall, recall_by_group, path_contribution, eval_diff, scenario_classify, question_dimensions, coverage_summary, feedback_to_queries, feedback_consistency, session_last12, session_stats, answer_trust, answer_coverage, time_windows)}
 
 _DIMS = "list_filter([" + ", ".join(f"case when regexp_matches(lower({{q}}), '{rx}') then '{name}' end" for name, rx in T.DIMENSIONS) + "], lambda x: x is not null)"
 _DIM = "unnest(case when len({d}) = 0 then ['direct'] else {d} end)"
@@ -152,4 +183,12 @@ ORACLE = {
     "session_last12": f"""with {ANSWERS}, b as (select session_id, answer_id, row_number() over (partition by session_id order by asked_at desc, answer_id desc) as back from a where session_id is not null)
       select session_id, answer_id, row_number() over (partition by session_id order by back desc) as position from b where back <= 12""",
     "session_stats": f"with {ANSWERS} select session_id, count(*) as answers, sum((coalesce(length(trim(answer)), 0) = 0)::int)::bigint as unanswered, date_diff('second', min(asked_at), max(asked_at)) as seconds from a where session_id is not null group by 1",
+    "answer_trust": f"""with {ANSWERS}, {DOCS}, u as (select distinct answer_id, unnest(returned_chunk_ids) as chunk_id from a), o as (select distinct chunk_id, doc_id from chunks where doc_id is not null)
+      select answer_id, max(tier)::bigint as tier, max(age)::bigint as age, count(distinct d.doc_id) as documents, case when max(age) > 180 then 'refresh' when max(age) > 90 then 'notice' else 'none' end as notice
+      from u join o using (chunk_id) join docs d on d.doc_id = o.doc_id group by 1""",
+    "answer_coverage": f"""with {ANSWERS}, q as (select session_id, lower(trim(question)) as q, max((evidence_count > 0 and length(trim(answer)) > 0)::int) as covered from a where session_id is not null and length(trim(question)) > 0 group by 1, 2)
+      select session_id, count(*) as questions, round(avg(coalesce(covered, 0)), 4) as coverage from q group by 1""",
+    "time_windows": f"""with {ANSWERS}, r as (select asked_at::date as day, max(asked_at::date) over () as today from a where asked_at is not null)
+      select 'recent' as span, count(*) filter (day > today - 30) as answers from r union all select 'this_week', count(*) filter (day >= date_trunc('week', today)::date) from r
+      union all select 'this_year', count(*) filter (year(day) = year(today)) from r union all select 'last_year', count(*) filter (year(day) = year(today) - 1) from r""",
 }

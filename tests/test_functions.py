@@ -95,3 +95,11 @@ def test_tiers(spark):
     df = spark.createDataFrame(rows, "k string, a int")
     got = df.select(dates.trust_tier(F.col("k"), F.col("a")).alias("t"), dates.source_priority(F.col("k"), F.col("a")).alias("p")).collect()
     assert [(r.t, r.p) for r in got] == [(1, "P0"), (2, "P0"), (3, "P1"), (2, "P3"), (3, "P2"), (3, "P3"), (3, "P1")]
+
+
+def test_model_output_and_frontmatter(spark):
+    assert values(spark, T.json_block, ['text ```json\n{"a": {"b": 1}}\n``` end', "none", None]) == ['{"a": {"b": 1}}', None, None]
+    df = spark.createDataFrame([("d-1", 'A "b": c\nd', None, " ")], "i string, t string, n string, e string")
+    block = df.select(T.frontmatter_of({"doc_id": F.col("i"), "title": F.col("t"), "none": F.col("n"), "empty": F.col("e")})).first()[0]
+    assert block == '---\ndoc_id: d-1\ntitle: "A \\"b\\": c\\nd"\n---\n'
+    assert values(spark, T.normal_text, ["﻿a\r\nb\rc", None]) == ["a\nb\nc", None]

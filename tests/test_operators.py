@@ -157,3 +157,21 @@ def test_latest_row(spark, seed):
     rows = [(rng.choice("abc"), rng.randrange(5), rng.randrange(100)) for _ in range(40)] + [(None, 9, 9)]
     got = governance.latest(spark.createDataFrame(rows, "k string, t int, v int"), "k", "t").collect()
     assert {r.k: r.t for r in got} == {k: max(t for a, t, _ in rows if a == k) for k in {r[0] for r in rows} if k}
+
+
+def test_arbitration(spark):
+    import datetime as dt
+
+    rows = [("p", "a", "P1", dt.date(2024, 1, 2)), ("p", "b", "P0", dt.date(2023, 1, 1)), ("p", "c", "P0", None), ("q", "d", "P2", None), ("q", "e", "P2", None)]
+    df = spark.createDataFrame(rows, "page string, doc_id string, priority string, fetched date")
+    got = {r.page: (r.doc_id, r.tied) for r in governance.arbitrate(df, "page").collect()}
+    assert got == {"p": ("b", False), "q": ("d", True)}
+
+
+def test_schema_guard(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "id long, v array<float>")
+    assert governance.guard_schema(df, {"id": "bigint"}, "v", 2).count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        governance.guard_schema(df, {"other": "string"})
+    with pytest.raises(Exception, match="must have 3 values"):
+        governance.guard_schema(df, {}, "v", 3).collect()

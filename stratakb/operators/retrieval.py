@@ -30,10 +30,11 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "id", ve
     blocks = max(1, -(-index.count() // block_rows))
     left = index.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
     right = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vec).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
-    right = right.withColumn("part", F.pmod(F.xxhash64("query_id", "block"), F.lit(1)))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        return np.array(column.to_pylist(), np.float64)
+        rows = column.combine_chunks()
+        rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+        return np.asarray(rows.flatten()).astype(np.float64).reshape(len(rows), -1)
 
     def search(key_: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakb.functions import dates
 from stratakb.functions import text as T
 from stratakb.operators import chunking, governance
 from stratakb.session import table

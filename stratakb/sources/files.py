@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -202,10 +200,3 @@ def fenced(code: Column, language: Column) -> Column:
     """Source code as a fenced block; four backticks where the code has three."""
     fence = F.when(F.contains(code, F.lit("```")), "````").otherwise("```")
     return F.concat(fence, F.coalesce(language, F.lit("")), F.lit("\n"), F.regexp_replace(code, r"\n+\z", ""), F.lit("\n"), fence)
-
-
-def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow body: adds the Markdown of a `html` column, for pipelines that stay in Arrow."""
-    for batch in batches:
-        done = pa.array([to_markdown(x) for x in batch.column("html").to_pylist()], pa.string())
-        yield pa.record_batch([*batch.columns, done], names=[*batch.schema.names, "markdown"])

@@ -3,8 +3,8 @@
 The fingerprint of a text is a row of min-hash symbols over its shingle set: two texts with Jaccard
 similarity J differ in about 1 - J of the symbols. It is split into blocks of `width` symbols; texts
 that differ in fewer symbols than there are blocks must agree in a block, and texts with J at the
-threshold miss all blocks with a probability of (1 - J^width)^blocks (0.4 % for the defaults at 0.6,
-0.04 % at 0.65). Blocks are the join keys; pairs are verified by the Hamming distance of one bit a
+threshold miss all blocks with a probability of (1 - J^width)^blocks (0.7 % for the defaults at 0.6,
+0.08 % at 0.65). Blocks are the join keys; pairs are verified by the Hamming distance of one bit a
 symbol, then by the exact similarity of the shingle sets.
 """
 

@@ -91,6 +91,29 @@ def test_texts_about_residue(text):
     assert not residue.is_whole_residue(text)
 
 
+UNHINTED = "trop de requêtes|zeitüberschreitung|请稍候|请重试|您没有权限|请联系管理员|该链接已被移动|the server did not answer|die datei ist nicht verfügbar|关闭 javascript".split("|")
+
+
+@pytest.mark.parametrize("piece", UNHINTED)
+def test_pieces_that_a_pattern_fits_are_tried(piece):
+    assert residue._piece_kind(piece) in ("strong", "weak")
+    assert residue.is_whole_residue(f"404 Not Found\n{piece}")
+
+
+def test_the_pretest_follows_from_the_patterns():
+    for patterns, forms in ((residue.STRONG, residue.STRONG_FORMS), (residue.WEAK, residue.WEAK_FORMS)):
+        assert len(forms) == sum(len(residue._alternatives(p.pattern)) for p in patterns)
+        for pattern, bit in forms:
+            needed = residue._needed(residue.re._parser.parse(pattern.pattern))
+            assert (bit == 1) == (not needed)
+            for word in needed or ():
+                assert residue._hints(f"so {word}x so") & bit
+            for piece in UNHINTED:
+                assert not pattern.fullmatch(piece) or residue._hints(piece) & bit
+    assert residue._needed(residue.re._parser.parse(r"ab?c(?:de|fg)h*")) in ({"de", "fg"},)
+    assert residue._needed(residue.re._parser.parse(r"a*|b")) is None
+
+
 def test_residue_spreads_to_near_copies(spark):
     notice = "Something went wrong. The page may have been moved or removed. Our team has been told about it. Please try again in 30 seconds."
     odd = notice + " Zorbal."  # the rules don't know the last word

@@ -70,6 +70,7 @@ PHRASES_ZH = {
 PATTERN = {name: re.compile(body) for name, body in PHRASES.items()}
 PATTERN_ZH = {name: re.compile(body) for name, body in PHRASES_ZH.items()}
 ANY_ZH = re.compile("|".join(PHRASES_ZH.values()))
+ANY = re.compile("|".join(PHRASES.values()))
 FEATURES = ("bias", "insult", "insult_you", "insult_adj", "insult_profane", "adj_you", "profane", "profane_you", "hostile", "threat", "harm_you", "hate", "group_demean", "group_insult", "sexual", "sex_many", "sex_one", "explicit", "sex_profane", "zh_insult", "zh_hate")
 PRIOR = np.array([-9.0, 6.0, 5.0, 4.5, 3.0, 1.5, 0.8, 1.5, 10.5, 10.5, 2.5, 10.5, 7.0, 5.0, 10.5, 3.6, 1.5, 8.5, 3.0, 10.5, 10.5])
 HOMOGLYPHS = str.maketrans(
@@ -171,9 +172,9 @@ def sentences(text: str) -> list[str]:
     return [s for s in SPLIT.split(text) if s and not s.isspace()]
 
 
-def _said(name: str, sentence: str, count: dict[str, int], cjk: bool) -> bool:
-    """Whether a phrase of the kind is in the sentence; Latin ones only stand beside words of the lexicon."""
-    return bool(count and PATTERN[name].search(sentence)) or (cjk and PATTERN_ZH[name].search(sentence) is not None)
+def _said(name: str, sentence: str, latin: bool, cjk: bool) -> bool:
+    """Whether a phrase of the kind is in the sentence; latin and cjk tell whether any phrase of those scripts is."""
+    return (latin and PATTERN[name].search(sentence) is not None) or (cjk and PATTERN_ZH[name].search(sentence) is not None)
 
 
 def features(sentence: str, words: list[str]) -> dict[str, float]:
@@ -186,7 +187,8 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
             if name == "sex":
                 sex.add(w)
     cjk = CJK.search(sentence) is not None and ANY_ZH.search(sentence) is not None
-    if not count and not cjk:
+    latin = ANY.search(sentence) is not None
+    if not count and not cjk and not latin:
         return {}
     out: dict[str, float] = {}
     you = "you" in count
@@ -210,17 +212,17 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
         put("profane")
         if you:
             put("profane_you")
-    if "hostile" in count or _said("hostile", sentence, count, cjk):
+    if "hostile" in count or _said("hostile", sentence, latin, cjk):
         put("hostile")
-    if _said("threat", sentence, count, cjk):
+    if _said("threat", sentence, latin, cjk):
         put("threat")
     if "harm" in count and you:
         put("harm_you")
     if "group" in count and "demean" in count:
         put("group_demean")
-    if ("group" in count or cjk or re.search(r"\bthey\b|\bpeople\b", sentence)) and _said("hate", sentence, count, cjk):
+    if ("group" in count or cjk or re.search(r"\bthey\b|\bpeople\b", sentence)) and _said("hate", sentence, latin, cjk):
         put("hate")
-    if _said("sexual", sentence, count, cjk):
+    if _said("sexual", sentence, latin, cjk):
         put("sexual")
     if len(sex) >= 2:
         put("sex_many", float(min(len(sex) - 1, 3)))

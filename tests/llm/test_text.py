@@ -195,6 +195,17 @@ def test_model_finds_the_sentence_and_unseen_forms(spark):
     assert got[90].score == got[91].score == 0.0 and got[92].sentence_no == 2
 
 
+@pytest.mark.parametrize(
+    ("sentence", "feature"),
+    [(s, "hostile") for s in ("get lost", "eat dirt", "shut up", "halt die klappe", "leck mich", "casse-toi", "vete al carajo", "cierra la boca")]
+    + [(s, "sexual") for s in ("clothes off", "on her knees", "come to bed")]
+    + [(s, "threat") for s in ("it should be put down", "they should be locked up")],
+)
+def test_phrases_need_no_word_of_the_lexicon(sentence, feature):
+    assert feature in moderation.features(sentence, moderation.WORD.findall(sentence))
+    assert moderation.noisy_or(moderation.fit([], []).logits(f"{PROSE[0]} {sentence.capitalize()}. {PROSE[1]}")) >= moderation.THRESHOLD
+
+
 def test_untrained_model():
     model = moderation.fit([], [])
     assert moderation.noisy_or(model.logits("You are a filthy bastard, go to hell.")) > 0.9

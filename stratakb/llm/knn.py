@@ -17,9 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratakb.session import cut
+
 NEAR = np.dtype([("c", "<i8"), ("s", "<f4")])
 
 
@@ -124,14 +126,33 @@ class Cells:
 COPY = pa.schema([("key", pa.int64()), ("cell", pa.int64()), ("home", pa.bool_()), ("query", pa.bool_()), ("v", pa.binary())])
 
 
-def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed: int, distance: float, success: float, most: int, vectors: bool) -> Iterator[pa.RecordBatch]:
-    table = Cells(seed, dim, m, w)
+def _units(v: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors (float32) of packed half floats."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
+    x = np.frombuffer(v.buffers()[2], "<f2", len(v) * dim, int(np.frombuffer(v.buffers()[1], "<i4")[v.offset])).reshape(len(v), dim).astype(np.float32)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """The usable vectors as half floats."""
     for batch in batches:
         at, x = usable_units(batch.column("vec"), dim)
         if not len(at):
             continue
-        key = np.asarray(batch.column("key"))[at]
-        query = np.asarray(batch.column("query").fill_null(False))[at]
+        at = pa.array(at)
+        ends = pa.py_buffer((np.arange(len(at) + 1) * 2 * dim).astype(np.int32))
+        v = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(x.astype("<f2").tobytes())])
+        yield pa.record_batch([batch.column("key").take(at), batch.column("query").fill_null(False).take(at), v], names=["key", "query", "v"])
+
+
+def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed: int, distance: float, success: float, most: int, vectors: bool) -> Iterator[pa.RecordBatch]:
+    table = Cells(seed, dim, m, w)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _units(batch.column("v"), dim)
+        key, query = np.asarray(batch.column("key")), np.asarray(batch.column("query"))
         home, _, _ = table.home(x)
         if not vectors:
             yield pa.record_batch([pa.array(home)], names=["cell"])
@@ -140,13 +161,10 @@ def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed:
         r, c = table.probes(x[asks], distance, success, most)
         r = asks[r]
         away = c != home[r]
-        rows = np.concatenate([np.arange(len(at)), r[away]])
+        rows = np.concatenate([np.arange(len(x)), r[away]])
         cells = np.concatenate([home, c[away]])
-        first = np.arange(len(rows)) < len(at)
-        packed = x.astype("<f2").tobytes()
-        size = 2 * dim
-        whole = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * size).astype(np.int32)), pa.py_buffer(packed)])
-        yield pa.record_batch([pa.array(key[rows]), pa.array(cells), pa.array(first), pa.array(query[rows]), whole.take(pa.array(rows))], schema=COPY)
+        first = np.arange(len(rows)) < len(x)
+        yield pa.record_batch([pa.array(key[rows]), pa.array(cells), pa.array(first), pa.array(query[rows]), batch.column("v").take(pa.array(rows))], schema=COPY)
 
 
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,22 +186,46 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
     """(query row, candidate row, cosine) of one cell: queries against home rows, each key once."""
     index, asks = np.flatnonzero(home), np.flatnonzero(query)
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # what was folded so far
+    most, held = k + 4, 0
     if not len(index) or not len(asks):
         return np.array([], int), np.array([], int), np.array([], np.float32)
 
+    def fold() -> None:
+        """Keep the best of each query of what was got; memory stays bounded however many pairs are close."""
+        q, c, s = (np.concatenate(z) for z in zip(*got))
+        got.clear()
+        if min_sim > -1:  # the cosine is symmetric: what a query finds holds for its candidate too
+            back = query[c]
+            q, c, s = np.r_[q, c[back]], np.r_[c, q[back]], np.r_[s, s[back]]
+        q, c, s = (np.concatenate(z) for z in zip(*best, (q, c, s)))
+        best[:] = [_best(q, c, s, key, key, most)]
+
     def compare(q: np.ndarray, c: np.ndarray) -> None:
+        nonlocal held
         step = max(1, 2_000_000 // max(1, len(c)))
         for i in range(0, len(q), step):
             sim = x[q[i : i + step]] @ x[c].T
-            if min_sim <= -1 and sim.shape[1] > k + 1:
-                at = np.argpartition(-sim, k + 1, axis=1)[:, : k + 2]
+            if min_sim <= -1 and sim.shape[1] > most + 1:
+                at = np.argpartition(-sim, most, axis=1)[:, : most + 1]
                 a = np.repeat(np.arange(len(sim)), at.shape[1])
                 b = at.ravel()
             else:
-                a, b = np.nonzero(sim >= min_sim)
+                close = sim >= min_sim
+                if np.count_nonzero(close) > 4 * most * sum(sim.shape):  # the best of each row and of each column
+                    top = np.zeros(sim.shape, bool)
+                    for axis in (0, 1):
+                        n = min(most + 1, sim.shape[axis])
+                        np.put_along_axis(top, np.argpartition(-sim, n - 1, axis=axis).take(range(n), axis), True, axis)
+                    close &= top
+                a, b = np.nonzero(close)
             qi, ci, si = q[i : i + step][a], c[b], sim[a, b]
             other = key[qi] != key[ci]
             got.append((qi[other], ci[other], si[other]))
+            held += len(got[-1][0])
+            if held > 2_000_000:
+                fold()
+                held = 0
 
     if scan or len(index) * len(asks) <= 250_000:
         compare(asks, index)
@@ -206,20 +248,48 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
             if got:  # what the tables have in common is held once
                 q, c2, s = (np.concatenate(z) for z in zip(*got))
                 pair = np.unique(q * len(x) + c2, return_index=True)[1]
-                got = [(q[pair], c2[pair], s[pair])]
+                got[:] = [(q[pair], c2[pair], s[pair])]
+                held = len(pair)
+    if best and got:
+        fold()
+    if best:
+        return best[0]
     q, c, s = (np.concatenate(z) for z in zip(*got)) if got else (np.array([], int),) * 2 + (np.array([], np.float32),)
-    if min_sim > -1:  # the cosine is symmetric: what a query finds holds for its candidate too
+    if min_sim > -1:
         back = query[c]
         q, c, s = np.r_[q, c[back]], np.r_[c, q[back]], np.r_[s, s[back]]
     return q, c, s
 
 
+def _members_best(near: DataFrame, members: DataFrame, k: int, min_sim: float) -> DataFrame:
+    """(key, near, sim) by key, of lists by class: members has the keys of each class of equal vectors.
+
+    Of a class only its first k + 1 keys can be in a list, and only the k + 1 best of a list can be wanted by a member.
+    """
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    for by in (["cls", "salt"], ["cls"]):
+        salted = salted.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("n") <= k + 1)
+    shown = salted.select("cls", F.col("key").alias("shown"))
+    asked = members.where("query").select(F.col("cls").alias("id"), F.col("key").alias("asker"))
+    near = near.select(F.col("key").alias("id"), "near", "sim")
+    others = near.join(shown, near["near"] == shown["cls"], "left").select("id", F.coalesce("shown", "near").alias("near"), F.least("sim", F.lit(1.0)).alias("sim"))
+    own = shown.join(asked.select(F.col("id").alias("cls")).distinct(), "cls", "left_semi").select(F.col("cls").alias("id"), F.col("shown").alias("near"), F.lit(1.0).alias("sim"))
+    lists = others.unionByName(own.where(F.lit(min_sim <= 1)))
+    for by, n in (("id", k + 1), ("key", k)):
+        best = lists.repartition(by).groupBy(by, "near").agg(F.max("sim").alias("sim"))
+        best = best.withColumn("n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("sim"), "near"))).where(F.col("n") <= n).drop("n")
+        if by == "key":
+            return best
+        lists = best.join(asked, "id", "left").select(F.coalesce("asker", "id").alias("key"), "near", "sim").where("key <> near")
+
+
 def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 64, cell_rows: int = 150_000, distance: float = 0.35, success: float = 0.97, most_cells: int | None = None, tables: int = 6, probes: int = 3, scan: bool = False, seed: int = 20) -> DataFrame:
     """(key, near, sim): the k most similar other keys of every query row of df (key, vec, query).
 
     Vectors of another length than dim, with null or non-finite values, or all zero are left out; rows
     of one key with the same vector count once; ties are ordered by key; an empty table gives an empty
-    result. The number of directions follows the row count so that cells stay near cell_rows; a cell of
+    result. Equal vectors are one class that is searched once; a table of its keys gives each its list.
+    The number of directions follows the row count so that cells stay near cell_rows; a cell of
     over four times that is split into salted parts: each row is indexed in one of them and asks all.
     min_sim drops candidates below that cosine. A query visits cells until the estimated success for a
     neighbour at `distance` reaches `success`: recall stays where it is as cells multiply, and the copies
@@ -230,6 +300,14 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
     rows = df.count()
     m = max(1, math.ceil(math.log(max(rows / cell_rows, 1.5)) / math.log(2.7)))
     w, cap = 1.5, 4 * cell_rows
+    packed = df.mapInArrow(lambda b: _packed(b, dim), "key long, query boolean, v binary").withColumn("cls", F.xxhash64("v"))
+    repeated = cut(packed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1").select("cls", "lo", "hi"), "repeated")
+    shared = repeated.where("lo < hi").select("cls")
+    once = packed.join(repeated, "cls").groupBy("cls").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.max("query").alias("query"), F.first("v").alias("v"))
+    once = once.select(F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("cls")).alias("key"), "query", "v")
+    df = packed.join(repeated, "cls", "left_anti").select("key", "query", "v").unionByName(once)
+    members = None if shared.isEmpty() else cut(packed.join(shared, "cls").groupBy("cls", "key").agg(F.max("query").alias("query")), "members")
+    k2 = k if members is None else k + 4
     most = most_cells or min(2 ** (m + 1), 64)
     size, k1 = df.mapInArrow(lambda b: _copies(b, dim, m, w, seed, distance, success, most, False), "cell long"), k + 4
     hot = F.broadcast(size.groupBy("cell").count().where(F.col("count") > cap).select("cell", F.ceil(F.col("count") / cap).cast("int").alias("parts")))  # at most rows / cap rows
@@ -240,10 +318,7 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
 
     def one(group: pa.Table) -> pa.Table:
         key = np.asarray(group.column("key"))
-        v = group.column("v").combine_chunks()
-        v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-        x = np.frombuffer(v.buffers()[2], "<f2", len(v) * dim, v.offset * 2 * dim).reshape(len(v), dim).astype(np.float32)
-        x /= np.sqrt((x * x).sum(1))[:, None]
+        x = _units(group.column("v"), dim)
         home, query = np.asarray(group.column("home")), np.asarray(group.column("query"))
         q, c, s = search_cell(key, home, query, x, k, min_sim, tables, probes, distance, scan, seed)
         _, dense = np.unique(key, return_inverse=True)  # rows repeated under one key count once
@@ -265,7 +340,8 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
             near = np.frombuffer(b"".join(joined), NEAR)
             q = np.repeat(np.arange(len(key)), [len(x) // NEAR.itemsize for x in joined])
             cand, c = np.unique(near["c"], return_inverse=True)
-            q, c, s = _best(q, c, near["s"], key, cand, k)
+            q, c, s = _best(q, c, near["s"], key, cand, k2)
             yield pa.record_batch([pa.array(key[q]), pa.array(cand[c]), pa.array(s.astype(np.float64))], names=["key", "near", "sim"])
 
-    return lists.groupBy("key").agg(F.collect_list("near").alias("lists")).mapInArrow(merge, "key long, near long, sim double")
+    near = lists.groupBy("key").agg(F.collect_list("near").alias("lists")).mapInArrow(merge, "key long, near long, sim double")
+    return near if members is None else _members_best(near, members, k, min_sim)

@@ -87,3 +87,25 @@ def test_probes_start_at_home_and_differ(m):
 def test_extra_columns(spark):
     df = frame(spark, clustered(50, 6)).withColumn("cell", F.lit("x")).withColumn("near", F.lit(1))
     assert knn.most_similar(df, k=2, min_sim=0.1).columns == ["key", "near", "sim"]
+
+
+def test_many_keys_of_one_vector(spark):
+    x = clustered(9000, 8)
+    x[:3000] = x[0]
+    got = {}
+    for r in knn.most_similar(frame(spark, x), k=10, min_sim=0.85).collect():
+        got.setdefault(r.key, []).append((r.near, r.sim))
+    for i in range(3000):  # ties go to the smallest keys
+        assert sorted(n for n, _ in got[i]) == [j for j in range(11) if j != i][:10] and min(s for _, s in got[i]) > 0.9999
+
+
+def test_search_of_a_cell_holds_few_pairs():
+    x = clustered(3000, 9)
+    x[:] = x[0] + np.random.default_rng(1).standard_normal(x.shape).astype(np.float32) * 0.01
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    yes = np.ones(len(x), bool)
+    q, c, s = knn.search_cell(np.arange(len(x)), yes, yes, x, 5, 0.85, 6, 3, 0.35, True, 20)
+    assert len(q) < 0.1 * len(x) ** 2  # all 9 million pairs are close
+    q, c, _ = knn._best(q, c, s, np.arange(len(x)), np.arange(len(x)), 5)
+    want = exact(x, 5, 0.85)
+    assert len(set(zip(q.tolist(), c.tolist())) & want) >= 0.99 * len(want)

@@ -109,3 +109,13 @@ def test_search_of_a_cell_holds_few_pairs():
     q, c, _ = knn._best(q, c, s, np.arange(len(x)), np.arange(len(x)), 5)
     want = exact(x, 5, 0.85)
     assert len(set(zip(q.tolist(), c.tolist())) & want) >= 0.99 * len(want)
+
+
+def test_rows_inserted_again_take_no_place(spark):
+    x = clustered(400, 10)
+    df = frame(spark, x, set(range(0, 400, 20)))
+    many = df.unionByName(df).unionByName(df).unionByName(df.where("key = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("n"))
+    asked = {"k": 10, "distance": 1.0, "success": 0.98, "most_cells": 40, "scan": True}
+    once = {(r.key, r.near) for r in knn.most_similar(df, **asked).collect()}
+    again = [(r.key, r.near) for r in knn.most_similar(many, **asked).collect()]
+    assert set(again) == once and len(again) == len(once) == 20 * 10

@@ -1,14 +1,17 @@
 """Abusive, hateful and sexual content: multiple-instance learning over sentences.
 
-A document is a bag of sentences. Each sentence gets a probability from a logistic model over lexicon
-features, their combinations, and the words and word pairs of the labelled sample; a document's score
-is the noisy-or of its sentences. The model is fitted to document labels only, through the noisy-or,
-with a Gaussian prior around the lexicon weights below, so it finds the offending sentences by
-itself. Labels that contradict a first fit strongly are left out of the second.
+A document is a bag of sentences. Each sentence gets a probability from a logistic model over the
+categories of its words, what they have in common, pairs of them, and the words and word pairs of the
+labelled sample; a document's score is the noisy-or of its sentences. The model is fitted to document
+labels only, through the noisy-or, so it finds the offending sentences by itself. All weights but the
+bias have a prior mean of 0: the labels decide what counts, and what categories have in common carries
+over to forms and languages that the sample lacks. Labels that contradict a first fit strongly are
+left out of the second.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -21,58 +24,66 @@ from pyspark.sql import functions as F
 
 #: The classifier is fitted to at most this many labelled rows.
 MAX_EXAMPLES = 5_000
-THRESHOLD = 0.1
+THRESHOLD = 0.3
 
-# Word lists by category, in the languages of the corpus. A word may end in * for any ending.
+# Common words by category, in the languages of the corpus. A word may end in * for the endings below. What a category weighs is learned.
 LEXICON = {
-    "insult": "idiot* imbecile* imbecil* moron* retard* cretin* halfwit* dickhead* twat* wanker* bastard* bitch* asshole* arsehole* scumbag* dumbass* dipshit* shithead* fuckwit* motherfucker* cunt* prick* douche* loser* parasite* pig pigs swine jerk* scum lowlife* whore* slut sluts degenerate* dimwit* numbskull* nitwit* simpleton* maggot* cockroach* vermin weasel leech* coward* clown* liar* creep* faggot* tranny nigger* kike* spic* chink* paki* gook* subhuman*"
+    "insult": "idiot* imbecile* imbecil* moron* retard* cretin* halfwit* dickhead* twat* wanker* bastard* bitch* asshole* arsehole* scumbag* dumbass* jackass* turd* prat tosser* bellend* dumbfuck* dipshit* shithead* fuckwit* motherfucker* cunt* prick* douche* douchebag* loser* parasite* pig pigs swine jerk* scum lowlife* whore* slut sluts degenerate* dimwit* numbskull* nitwit* simpleton* maggot* cockroach* vermin weasel leech* coward* clown* liar* creep* faggot* tranny nigger* kike* spic* chink* paki* gook* subhuman*"
     " arschloch arschlöcher hurensohn hurensöhne missgeburt* vollidiot* vollpfosten versager* abschaum drecksau* dreckskerl* schlampe* hure huren wichser* penner* trottel* depp deppen spast* schwachkopf* mistkerl* schwein schweine fotze* miststück* nichtsnutz* dummkopf* idioten"
-    " salope* connard* connasse* abruti* enculé* larve* imbécile* crétin* ordure* pute putes débile* bouffon* raclure* pourriture* salaud* tocard* conne cons"
-    " imbécil* subnormal* cabrón cabron cabrones cabrona puto puta putos putas inútil* payaso* gilipollas capullo* desgraciad* zorra* perra perras pendej* malparid* escoria estúpid* hijoputa* mamón",
-    "slur_adj": "worthless spineless pathetic filthy brain-dead braindead stupid stinking rotten goddamn lying shitty fucking sorry disgusting miserable smelly clueless brainless vile fat ugly useless dumb dreckig* verdammt* dumm* blöd* elend* hässlich* widerlich* sale sales pauvre minable* nul nulle sucio* asqueroso* maldit* miserable*",
-    "profane": "fuck* shit* crap damn* hell arse ass piss* bollocks bullshit scheiß* scheiss* scheisse verfickt* mist merde* putain bordel mierda* joder coño hostia",
-    "you": "you your yours yourself u ur du dich dir dein* euch ihr tu toi te ton ta tes vous votre tú ti usted ustedes eres vuestr*",
-    "hostile": "kys stfu gtfo verreck* crève crevez cállate callate muérete muerete revient* revienta lárgate piérdete",
-    "sex": "porn* blowjob* handjob* deepthroat* gangbang* threesome* orgy orgies cumshot* cum creampie* milf* dildo* orgasm* nudes xxx horny pussy pussies tits titties boobs cock cocks dick dicks penis vagina anal masturbat* erotic* webcam camgirl* escort* strip stripped stripper* naked nude topless bottomless hardcore thighs moan* thrust* sluts slut wives sexy sexting sex underwear"
-    " ficken fick* gefickt nackt nackte* sexchat sexcam versaut* geil geile* muschi* schwanz möpse titten blasen pornos hausfrauen orgasmus scharfe"
-    " baiser baise* niquer nue nues chatte* bite bites sodomi* branl* suce* sexe coquine* chaudes porno"
-    " follar* follarte follame desnud* sexo polla* coño* tetas mamada* corrida* cachond* caliente* maduras pornograf* chupa* rodillas",
-    "explicit": "blowjob* handjob* deepthroat* gangbang* cumshot* creampie* porn* camgirl* sexchat sexcam ficken gefickt follarte follame niquer pornos porno",
-    "group": "women woman girls females wives immigrant* migrant* refugee* foreigner* gays gay lesbian* homosexual* trans transgender* disabled cripple* blacks jews jewish muslim* arabs asians mexicans gypsies gypsy natives believers religion faith tribe border skin elderly elders old people race races ethnic* christians hindus africans women's"
-    " frauen mädchen ausländer* flüchtling* migranten zuwanderer* schwule* lesben homosexuelle* behindert* rollstuhlfahrer* juden muslime* türken araber* schwarze* zigeuner* alte alten gläubige* fremde* transsexuelle* polen"
+    " salope* connard* connasse* abruti* enculé* larve* imbécile* crétin* ordure* pute putes débile* bouffon* raclure* pourriture* salaud* tocard* conne cons minable*"
+    " imbécil* subnormal* cabrón cabron cabrones cabrona puto puta putos putas inútil* payaso* gilipollas capullo* desgraciad* zorra* perra perras pendej* malparid* escoria estúpid* hijoputa* mamón"
+    " 蠢猪 垃圾人 废物 白痴 傻逼 傻比 傻叉 脑残 贱人 贱货 畜生 王八蛋 混蛋 人渣 狗东西 狗杂种 狗娘养 狗屎 杂种 婊子 智障 蠢货 猪头 妓女 骚货 死胖子 败类",
+    "slur_adj": "worthless spineless pathetic filthy brain-dead braindead stupid stinking rotten goddamn lying shitty fucking sorry disgusting miserable smelly clueless brainless vile fat ugly useless dumb retarded dreckig* verdammt* dumm* blöd* elend* hässlich* widerlich* sale sales pauvre minable* nul nulle sucio* asqueroso* maldit* miserable* 肮脏 下贱 恶心",
+    "profane": "fuck* shit* crap damn* hell arse ass piss* bollocks bullshit scheiß* scheiss* scheisse verfickt* mist merde* putain bordel foutre mierda* joder coño hostia 他妈的 你妈 操你 草泥马",
+    "you": "you your yours yourself u ur du dich dir dein* euch ihr tu toi te ton ta tes vous votre tú ti usted ustedes eres vuestr* 你 您",
+    "hostile": "kys stfu gtfo verreck* crève crevez cállate callate muérete muerete revient* revienta lárgate piérdete 去死 不得好死 滚出去 滚开 滚蛋 滚吧 滚回 滚出 闭嘴 狗嘴 死全家",
+    "sex": "porn* blowjob* handjob* deepthroat* gangbang* threesome* orgy orgies cumshot* cum creampie* milf* dildo* orgasm* nudes xxx horny pussy pussies tits titties boobs cock cocks dick dicks penis vagina anal masturbat* erotic* webcam camgirl* escort* strip stripped stripper* naked nude topless bottomless hardcore thighs moan* thrust* slut sluts sexy sexting sex underwear"
+    " ficken fick* gefickt nackt nackte* sexchat sexcam versaut* geil geile* muschi* schwanz möpse titten blasen pornos orgasmus"
+    " baiser baise* niquer nue nues chatte* bite bites sodomi* branl* suce* sexe coquine* porno"
+    " follar* follarte follame desnud* sexo polla* coño* tetas mamada* corrida* cachond* maduras pornograf* chupa*"
+    " 做爱 裸照 脱光 约炮 色情 淫荡 口交 自慰 裸聊 小穴 鸡巴 阴道 肉棒 操逼 激情视频",
+    "explicit": "blowjob* handjob* deepthroat* gangbang* cumshot* creampie* porn* camgirl* sexchat sexcam ficken gefickt follarte follame niquer pornos porno 做爱 约炮 裸聊 口交 操逼",
+    "group": "women woman girl* female* immigrant* migrant* refugee* foreigner* gays gay lesbian* homosexual* trans transgender* disabled cripple* black* jew* muslim* arab* asian* mexican* gypsies gypsy native* believer* religion faith tribe border skin elderly race races ethnic* christian* hindu* african*"
+    " frauen mädchen ausländer* flüchtling* migranten zuwanderer* schwule* lesben homosexuelle* behindert* rollstuhlfahrer* juden muslime* türken araber* schwarze* zigeuner* gläubige* fremde* transsexuelle*"
     " femmes filles étrangers étrangères immigrés migrants réfugiés pédés gays lesbiennes homosexuels handicapés noirs juifs musulmans arabes vieux vieilles gitans roms croyants trans"
-    " mujeres chicas extranjer* inmigrantes migrantes refugiad* maricones maricón gais lesbianas homosexuales discapacitad* negros judíos musulmanes árabes moros viej* gitanos creyentes",
-    "demean": "vermin rats rat sewer subhuman* inferior breed cages cage animals whip filth plague criminals criminal savages disease infest* deport* exterminat* eradicat* gas whipped lynch* hang hanged cleaner dumb stupid smell blood rope shoot burn driven ruin hate human trash garbage parasites scum disgusting filthy"
-    " abschaum ungeziefer ratten untermenschen menschen dreck blöd dumm raus müll pack seuche kriminell* minderwertig* vergasen abschieben gehören"
-    " vermine sous-hommes rats dehors cafards racaille sauvages parasites inférieur* dégage* brûler pendre crasse peste"
-    " ratas basura plaga alimañas echen escoria sirven inferiores salvajes fuera animales cucarachas parásitos quemar expulsar",
-    "harm": "kill* murder* slit smash* burn* stab stabs stabbed stabbing shoot* hang* strangle* beat* beating whip* break* bury rape* choke* breathing throat fingers face kneecaps skull house dead suicide drown* bleed* rope bullet"
-    " töten umbringen sterben anzünden verprügeln erschießen abstechen fresse aufhängen haus schlagen kaltmachen"
-    " tuer crever brûler frapper égorger pendre casser gueule buter maison cogner"
-    " matar morir quemar partir cara degollar pegar reventar casa machacar romper piernas",
+    " mujeres chicas extranjer* inmigrantes migrantes refugiad* maricones maricón gais lesbianas homosexuales discapacitad* negros judíos musulmanes árabes moros viej* gitanos creyentes"
+    " 移民 残疾人 外地人 女人 黑人 穆斯林 同性恋 老人 老年人 难民 外国人 少数民族 犹太人 农民工 乡下人 跨性别 信徒 教徒 那个民族",
+    "demean": "vermin rat rats subhuman* inferior breed breeding cage cages animals whip filth plague criminal* savage* disease* infest* deport* exterminat* eradicat* lynch* hang hanged human dumb stupid trash garbage parasite* scum disgusting filthy hate"
+    " abschaum ungeziefer ratten untermenschen menschen dreck blöd dumm pack seuche kriminell* minderwertig* vergasen abschieben"
+    " vermine sous-hommes rats cafards racaille sauvages parasites inférieur* dégage* crasse peste"
+    " ratas basura plaga alimañas echen escoria inferiores salvajes animales cucarachas parásitos"
+    " 垃圾 害虫 畜生 人渣 蛀虫 废物 劣等 低等 赶出去 滚 不是人 罪犯 寄生虫 蟑螂 老鼠 不配 下贱",
+    "harm": "kill* murder* slit smash* burn* stab stabs stabbed stabbing shoot* hang* strangle* beat* beating whip* bury rape* choke* breathing throat suicide drown* bleed* bullet rot"
+    " töten umbringen sterben anzünden verprügeln erschießen abstechen aufhängen schlagen kaltmachen"
+    " tuer crever brûler frapper égorger pendre casser buter cogner"
+    " matar morir quemar degollar reventar machacar"
+    " 弄死 打死 砍死 杀了 烧了 捅死 打断 全家",
 }
-# Phrases that say it by themselves, matched in the canonical sentence.
-PHRASES = {
-    "hostile": r"\bkill (?:your|ur)self\b|\bdrop dead\b|\bgo to hell\b|\bget lost\b|\bpiss off\b|\beat dirt\b|\bshut (?:the )?(?:fuck |hell )?up\b|\bcrawl back\b|\bjump off\b|\bstop breathing\b|\bhang yourself\b|\bnobody wants you\b|\bgo (?:and )?(?:die|rot)\b|\bfuck (?:you|off)\b|\bscrew you\b|\bi hope you (?:choke|die|rot|burn|suffer)|\bsick of you\b|\bashamed of (?:raising|you)\b|\bspare us\b|\bdo us all a favou?r\b|\bjust quit\b|\bhalt (?:endlich )?(?:die |deine )?(?:fresse|klappe|maul|schnauze)\b|\bgeh sterben\b|\bverpiss dich\b|\bleck mich\b|\bferme ta gueule\b|\bta gueule\b|\bcasse-toi\b|\bva (?:te faire|crever|mourir|en enfer)\b|\bnique ta\b|\bvete a la (?:mierda|verga)\b|\bvete al (?:infierno|carajo)\b|\bojal[áa] (?:te )?(?:revientes|mueras)\b|\bque te den\b|\bcierra (?:la boca|el pico)\b",
-    "threat": r"\bwe know where you live\b|\bi(?: will|'ll| am going to|'m going to| come over)\b.{0,40}\b(?:smash|break|kill|burn|hurt|find|beat|cut|slit|shoot|bury|rape|rip)\b|\b(?:we|somebody|someone|they)(?: will| ought to| should)? (?:burn|smash|slit|break|kill|shoot|beat|hang|bury)\b.{0,30}\b(?:you|your|house|throat|face|homes?)\b|\bdeserves? (?:a|to (?:be|die|suffer))\b.{0,20}(?:beating|whipp|beat|shot|die|hang|suffer)|\bshould be (?:put down|whipped|shot|hanged|gassed|driven out|sterili[sz]ed|locked up|killed|burned|beaten)\b|\bput down like\b|\bslit your throat\b|\bsmash your face\b|\brope and a tree\b|\bburn (?:your|the) (?:house|homes?)\b|\b(?:dir|euch) sollte man\b|\b(?:ich|wir) (?:werde|werden|bringe|schlage|mache?)\b.{0,30}\b(?:dich|dir|euch)\b.{0,20}\b(?:um|kalt|tot|töten|fertig|finden)\b|\bon va te\b.{0,30}\b(?:brûler|tuer|casser|buter|crever|frapper|retrouver)\b|\bje vais te\b.{0,20}\b(?:tuer|casser|buter|crever|égorger|frapper)\b|\bte (?:vamos|voy) a\b.{0,20}\b(?:partir|matar|romper|quemar|reventar|machacar|encontrar|degollar)\b",
-    "hate": r"\b(?:less than human|subhumans?|inferior (?:breed|race|people)|untermenschen|keine menschen|sous-hommes|no son personas|belongs? in (?:cages?|camps?|ovens?|zoos?)|only understands? the whip|criminals? by (?:nature|birth)|too (?:dumb|stupid|lazy|dirty)\b|their blood|blood is bad|is a sewer|driven out|(?:ruin|destroy)s? (?:the|our|this) country|cleaner without|not let .{1,40} breed|a mile away|zu blöd für|gehören (?:in|hinter|vergast|weg|raus)|de la vermine|no sirven para|una plaga|que los echen|basura humana|nur ungeziefer|sollen? verschwinden)",
-    "sexual": r"\bwet pussy\b|\bbig cocks?\b|\bcam (?:room|girls?)\b|\bnude (?:cam|girls|pics)\b|\b(?:hot|horny) (?:naked|girls|wives|singles|moms)\b|\bhardcore sex\b|\bsend (?:me )?nudes\b|\bon (?:her|his|your) knees\b|\bclothes off\b|\bscrew you (?:on|hard)\b|\bfuck me\b|\bbent over\b|\b(?:lonely|horny|bored) (?:wives|singles|moms|housewives)\b|\badults only\b|\bstrip on cam\b|\bwith nothing on\b|\bbetween (?:her|his|your) thighs\b|\bbegged for more\b|\bthrust into\b|\btore off (?:their|her|his)\b|\b(?:her|his) tits\b|\banything you want naked\b|\bcome to bed\b|\bdich (?:hart|nackt|ficken)\b|\bnackt auf\b|\bauf dem tisch nehmen\b|\bnackte (?:frauen|mädchen)\b|\bte (?:baiser|prendre nue)\b|\bprendre nue\b|\bnue sur\b|\bà poil\b|\bverte desnud|\bfollarte\b|\bsexo (?:duro|en vivo)\b|\bchicas desnudas\b|\bdesnuda de\b",
+# Common idioms of several words by category, separated by bars.
+IDIOMS = {
+    "hostile": "kill yourself|kill urself|hang yourself|drop dead|go to hell|get lost|piss off|shut up|shut the hell up|shut the fuck up|fuck you|fuck off|screw you|hope you choke|hope you die|hope you rot|hope you burn|hope you suffer|go die|go and die|go rot|go and rot|know where you live"
+    "|halt die fresse|halt die klappe|halt das maul|halt endlich die klappe|halt endlich die fresse|halt deine fresse|halt deine klappe|geh sterben|verpiss dich|leck mich|ta gueule|casse-toi|va te faire|va crever|va mourir|nique ta|vete a la mierda|vete a la verga|vete al infierno|vete al carajo|que te den|cierra la boca|cierra el pico",
+    "insult": "son of a bitch|sons of bitches|waste of oxygen|waste of space|waste of skin|piece of shit|piece of crap|piece of garbage|piece of trash|fils de pute|hijo de puta|hijos de puta",
+    "group": "old people|those people|that people|these people|people of|people with|people from|alte menschen|alte leute|alten menschen|alten leute",
+    "harm": "|".join(f"{aux} be {done}" for aux in ("should", "should all", "ought to") for done in "put down,shot,hanged,gassed,whipped,beaten,killed,burned,sterilized,sterilised".split(",")),
+    "demean": "less than human|no son personas|keine menschen",
+    "sex": "clothes off|come to bed|on her knees|on his knees|on your knees|de rodillas|à poil",
 }
-PHRASES_ZH = {
-    "hostile": r"去死|不得好死|滚(?:出去|开|蛋|吧)|闭嘴|你妈|他妈的|操你|草泥马|死全家|怎么不死",
-    "threat": r"(?:弄死|打死|砍死|杀了|烧了|捅死|打断).{0,6}(?:你|你们|全家|腿)|(?:小心|知道)你(?:家|住)|等着(?:瞧|收尸)",
-    "hate": r"(?:都是|全是|就是)(?:垃圾|害虫|畜生|人渣|蛀虫|废物|劣等|猪|狗|贼|罪犯|蟑螂|低等)|赶出去|(?:滚回|滚出).{0,6}|劣等(?:民族|人种)|不配(?:做人|活)|不是人",
-    "sexual": r"做爱|裸照|脱光|上床做|约炮|色情|淫荡|口交|自慰|裸聊|小穴|鸡巴|阴道|肉棒|操逼|激情视频",
-    "insult": r"蠢猪|垃圾人|废物|白痴|傻[逼比叉缺]|脑残|贱[人货]|畜生|王八蛋|混蛋|人渣|狗(?:东西|杂种|娘养的|屎)|杂种|婊子|智障|蠢货|猪头|妓女|骚货|臭(?:婊|傻)|死(?:妈|胖子)|败类",
-    "group": r"移民|残疾人|外地人|女人|女的|黑人|穆斯林|同性恋|老人|老年人|难民|外国人|少数民族|犹太人|农民工|乡下人|跨性别|那个民族|信徒|教徒",
-    "demean": r"垃圾|害虫|畜生|人渣|蛀虫|废物|劣等|低等|赶出去|滚|罪犯|寄生虫|蟑螂|老鼠|不配|肮脏|下贱|该死|不该生",
-}
-PATTERN = {name: re.compile(body) for name, body in PHRASES.items()}
-PATTERN_ZH = {name: re.compile(body) for name, body in PHRASES_ZH.items()}
-ANY_ZH = re.compile("|".join(PHRASES_ZH.values()))
-ANY = re.compile("|".join(PHRASES.values()))
-FEATURES = ("bias", "insult", "insult_you", "insult_adj", "insult_profane", "adj_you", "profane", "profane_you", "hostile", "threat", "harm_you", "hate", "group_demean", "group_insult", "sexual", "sex_many", "sex_one", "explicit", "sex_profane", "zh_insult", "zh_hate")
-PRIOR = np.array([-9.0, 6.0, 5.0, 4.5, 3.0, 1.5, 0.8, 1.5, 10.5, 10.5, 2.5, 10.5, 7.0, 5.0, 10.5, 3.6, 1.5, 8.5, 3.0, 10.5, 10.5])
+IDIOM: dict[str, list[tuple[list[str], str]]] = {}
+for _name, _body in IDIOMS.items():
+    for _words in map(str.split, _body.split("|")):
+        IDIOM.setdefault(_words[0], []).append((_words, _name))
+#: Endings that a word marked with * may take.
+ENDINGS = frozenset(" e en er es ern et est s se st t te ten ter tes n nes ness r rs ed ing ings d ly y ies ied ish ic ical ion ions ation ated ating ate ators a as o os ado ada ados adas ar arse ando ó ía al ales aux eux euse euses e-s é ée és ées ent ant ante ants ait ez ons ung ungen keit lich liche lichen isch ische ischen ity ism ist ists ia ias nd hafte haften in innen uk ers ery eries ty 's s'".split()) | {""}
+HARMFUL, TARGETS = ("insult", "slur_adj", "profane", "hostile", "demean", "harm", "sex", "explicit"), ("you", "group")
+TARGET_SET = frozenset(TARGETS)
+_PAIRS = tuple(f"{a}+{b}" for a, b in itertools.combinations((*HARMFUL, *TARGETS), 2))
+#: The bias, what categories have in common (several harmful ones, one with somebody it is aimed at), each category, and pairs of them.
+FEATURES = ("bias", "kinds", "kinds_aimed", "aimed", "dense", "sex_many", *HARMFUL, *TARGETS, *_PAIRS)
+#: Prior mean of the bias: one sentence in 3,000 without a sign. All other weights have mean 0: without labels nothing is found.
+BIAS = -8.0
+#: Standard deviations of the priors of the bias, of what categories have in common, of single categories and of pairs.
+SCALES = {"bias": 0.3, "common": 3.0, "single": 2.0, "target": 0.5, "pair": 1.0}
 HOMOGLYPHS = str.maketrans(
     "аеорсухіјѕԁһԛԝкмтвнзьАЕОРСУХІЈЅВКМНТαεορτυικνχΑΒΕΖΗΙΚΜΝΟΡΤΥΧɑɡıǃ",
     "aeopcyxijsdhqwkmtbh3bAEOPCYXIJSBKMHTaeoptuikvxABEZHIKMNOPTYXagi!",
@@ -86,23 +97,27 @@ RUNS = re.compile(r"([^\W\d_])\1{2,}")
 SPLIT = re.compile(r"(?<=[.!?。！？…])(?=\s|[^\s.!?。！？…])\s*|\n+")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 CJK = re.compile(r"[一-鿿]")
+CJK_RUN = re.compile(r"[一-鿿]{2,}")
 
 
-def _lexicon() -> tuple[dict[str, set[str]], list[tuple[str, set[str]]]]:
+def _lexicon() -> tuple[dict[str, set[str]], dict[str, set[str]], dict[str, set[str]]]:
     whole: dict[str, set[str]] = {}
     stems: dict[str, set[str]] = {}
+    signs: dict[str, set[str]] = {}
     for name, body in LEXICON.items():
         for word in body.split():
-            if word.endswith("*"):
+            if CJK.match(word):
+                signs.setdefault(word, set()).add(name)
+            elif word.endswith("*"):
                 stems.setdefault(word[:-1], set()).add(name)
             else:
                 whole.setdefault(word, set()).add(name)
-    return whole, sorted(stems.items())
+    return whole, stems, signs
 
 
-WHOLE, STEMS = _lexicon()
-STEM_LENGTHS = sorted({len(s) for s, _ in STEMS})
-STEM = dict(STEMS)
+WHOLE, STEM, SIGN_WORDS = _lexicon()
+STEM_LENGTHS = sorted(set(map(len, STEM)))
+ANY_CJK = re.compile("|".join(sorted(SIGN_WORDS, key=len, reverse=True)))
 
 
 class _Categories(dict):
@@ -113,8 +128,8 @@ class _Categories(dict):
         for n in STEM_LENGTHS:
             if n > len(word):
                 break
-            if len(word) - n <= 4:
-                found |= STEM.get(word[:n], set())
+            if word[:n] in STEM and word[n:] in ENDINGS:
+                found |= STEM[word[:n]]
         if len(self) > 1_000_000:
             self.clear()
         got = self[word] = frozenset(found)
@@ -130,7 +145,7 @@ def _starred(match: re.Match) -> str:
     pattern = re.compile(re.escape(word).replace(r"\*", "[^\\W\\d_]"))
     loose = re.compile(re.sub(r"(\\\*)+", "[^\\\\W\\\\d_]{1,8}", re.escape(word)))
     for test in (pattern, loose):
-        for known, kinds in (*WHOLE.items(), *STEMS):
+        for known, kinds in (*WHOLE.items(), *sorted(STEM.items())):
             if len(known) >= 4 and kinds & {"insult", "profane", "sex", "demean"} and test.fullmatch(known):
                 return known
     return word
@@ -172,71 +187,55 @@ def sentences(text: str) -> list[str]:
     return [s for s in SPLIT.split(text) if s and not s.isspace()]
 
 
-def _said(name: str, sentence: str, latin: bool, cjk: bool) -> bool:
-    """Whether a phrase of the kind is in the sentence; latin and cjk tell whether any phrase of those scripts is."""
-    return (latin and PATTERN[name].search(sentence) is not None) or (cjk and PATTERN_ZH[name].search(sentence) is not None)
-
-
 def features(sentence: str, words: list[str]) -> dict[str, float]:
     """The lexicon features of a canonical sentence, without the bias."""
-    count: dict[str, int] = {}
-    sex: set[str] = set()
+    found: set[str] = set()
+    sexual: set[str] = set()
+    dense = 0.0
     for w in words:
-        for name in CATEGORIES[w]:
-            count[name] = count.get(name, 0) + 1
-            if name == "sex":
-                sex.add(w)
-    cjk = CJK.search(sentence) is not None and ANY_ZH.search(sentence) is not None
-    latin = ANY.search(sentence) is not None
-    if not count and not cjk and not latin:
+        kinds = CATEGORIES[w]
+        if kinds:
+            found |= kinds
+            dense += (not kinds <= TARGET_SET) / len(words)
+            if "sex" in kinds:
+                sexual.add(w)
+    if not sentence.isascii() and CJK.search(sentence):
+        for w in ANY_CJK.findall(sentence):
+            found |= SIGN_WORDS[w]
+            dense += (not SIGN_WORDS[w] <= TARGET_SET) * len(w) / len(sentence)
+            if "sex" in SIGN_WORDS[w]:
+                sexual.add(w)
+    if not IDIOM.keys().isdisjoint(words):
+        for i, w in enumerate(words):
+            for idiom, name in IDIOM.get(w, ()):
+                if words[i : i + len(idiom)] == idiom:
+                    found.add(name)
+                    dense += (name not in TARGET_SET) * len(idiom) / len(words)
+                    if name == "sex":
+                        sexual.add(" ".join(idiom))
+    if not found:
         return {}
-    out: dict[str, float] = {}
-    you = "you" in count
-
-    def put(name: str, value: float = 1.0) -> None:
-        out[name] = value
-
-    if "insult" in count:
-        put("insult")
-        if you:
-            put("insult_you")
-        if "slur_adj" in count:
-            put("insult_adj")
-        if "profane" in count:
-            put("insult_profane")
-        if "group" in count:
-            put("group_insult")
-    if "slur_adj" in count and you:
-        put("adj_you")
-    if "profane" in count:
-        put("profane")
-        if you:
-            put("profane_you")
-    if "hostile" in count or _said("hostile", sentence, latin, cjk):
-        put("hostile")
-    if _said("threat", sentence, latin, cjk):
-        put("threat")
-    if "harm" in count and you:
-        put("harm_you")
-    if "group" in count and "demean" in count:
-        put("group_demean")
-    if ("group" in count or cjk or re.search(r"\bthey\b|\bpeople\b", sentence)) and _said("hate", sentence, latin, cjk):
-        put("hate")
-    if _said("sexual", sentence, latin, cjk):
-        put("sexual")
-    if len(sex) >= 2:
-        put("sex_many", float(min(len(sex) - 1, 3)))
-    elif sex:
-        put("sex_one")
-    if "explicit" in count:
-        put("explicit")
-    if sex and "profane" in count:
-        put("sex_profane")
-    if cjk:
-        if PATTERN_ZH["insult"].search(sentence):
-            put("zh_insult")
-        if PATTERN_ZH["group"].search(sentence) and PATTERN_ZH["demean"].search(sentence):
-            put("zh_hate")
+    harm, aimed = [c for c in HARMFUL if c in found], any(c in found for c in TARGETS)
+    out = dict.fromkeys(found, 1.0)
+    if harm:
+        out["dense"] = min(dense, 1.0)
+        out["kinds"] = float(min(len(harm), 4) - 1)
+        if aimed:
+            out["aimed"] = 1.0
+            out["kinds_aimed"] = out["kinds"]
+    if len(sexual) >= 2:
+        out["sex_many"] = float(min(len(sexual) - 1, 3))
+    for pair in itertools.combinations([c for c in (*HARMFUL, *TARGETS) if c in found], 2):
+        out["+".join(pair)] = 1.0
+    return out
+
+
+def grams_of(sentence: str, words: list[str]) -> list[str]:
+    """Words, word pairs, and pairs of Chinese characters of a canonical sentence."""
+    out = words + list(map(" ".join, zip(words, words[1:])))
+    if not sentence.isascii():
+        for run in CJK_RUN.findall(sentence):
+            out += map("".join, zip(run, run[1:]))
     return out
 
 
@@ -244,18 +243,21 @@ def features(sentence: str, words: list[str]) -> dict[str, float]:
 class Model:
     """Weights of the lexicon features, and of the words and word pairs of the labelled sample."""
 
-    lexicon: np.ndarray
+    weights: np.ndarray
     grams: dict[str, float]
+    lexicon: bool = True
 
     def logits(self, text: str) -> list[float]:
-        w = dict(zip(FEATURES, self.lexicon))
-        get, bias = self.grams.get, float(self.lexicon[0])
+        w = dict(zip(FEATURES, map(float, self.weights)))
+        get, bias = self.grams.get, w["bias"]
         out = []
         for s in sentences(canonical(text)):
             words = WORD.findall(s)
-            z = bias + sum(v * w[f] for f, v in features(s, words).items())
-            z += sum(filter(None, map(get, words)))
-            z += sum(filter(None, map(get, map(" ".join, zip(words, words[1:])))))
+            z = bias
+            if known := self.grams.keys() & grams_of(s, words):
+                z += sum(map(get, known))
+            if self.lexicon:
+                z += sum(v * w[f] for f, v in features(s, words).items())
             out.append(z)
         return out
 
@@ -268,11 +270,13 @@ def noisy_or(logits: list[float]) -> float:
     return float(-np.expm1(-np.logaddexp(0, z).sum()))
 
 
-def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: float = 1.5, gram_scale: float = 0.3, step: float = 0.25) -> Model:
+def fit(texts: list[str], labels: list[int], rounds: int = 400, gram_scale: float = 0.5, step: float = 0.25, least: int = 1, lexicon: bool = True) -> Model:
     """Fit the model to document labels through the noisy-or, by gradient ascent with momentum.
 
-    lexicon_scale and gram_scale are the standard deviations of the Gaussian priors. Rows with a null
-    label or a blank text must be left out before; without rows the prior is the model.
+    gram_scale is the standard deviation of the Gaussian prior of words and word pairs, SCALES has those
+    of the lexicon features; all but the bias have mean 0. Rows with a null label or a blank text must
+    be left out before; without rows the prior is the model, which finds nothing. Without `lexicon`
+    only words and word pairs are learned.
     """
     names = {f: i for i, f in enumerate(FEATURES)}
     vocabulary: dict[str, int] = {}
@@ -283,12 +287,12 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: f
         rows = []
         for s in sentences(canonical(text)):
             words = WORD.findall(s)
-            rows.append((features(s, words), words + list(map(" ".join, zip(words, words[1:])))))
+            rows.append((features(s, words) if lexicon else {}, grams_of(s, words)))
         parsed.append(rows)
         for g in {g for _, grams in rows for g in grams}:
             seen[g] = seen.get(g, 0) + 1
     for g, n in seen.items():
-        if n >= 2:
+        if n >= least:
             vocabulary[g] = len(FEATURES) + len(vocabulary)
     for rows in parsed:
         bag = []
@@ -305,10 +309,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: f
         bags.append(bag)
     size = len(FEATURES) + len(vocabulary)
     prior = np.zeros(size)
-    prior[: len(FEATURES)] = PRIOR
-    inverse = np.full(size, 1 / gram_scale**2)
-    inverse[: len(FEATURES)] = 1 / lexicon_scale**2
-    inverse[0] = 4.0
+    prior[0] = BIAS
+    scale = np.full(size, gram_scale)
+    scale[: len(FEATURES)] = [SCALES["bias" if f == "bias" else "pair" if "+" in f else "single" if f in HARMFUL else "target" if f in TARGETS else "common"] for f in FEATURES]
+    inverse = 1 / scale**2
     flat = [(d, i, v) for d, bag in enumerate(bags) for i, v in bag]
     doc = np.array([d for d, _, _ in flat], int)
     rows = np.repeat(np.arange(len(flat)), [len(i) for _, i, _ in flat]) if flat else np.array([], int)
@@ -324,7 +328,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: f
         return z, total, np.where(y > 0, -np.log(-np.expm1(-total)), total)
 
     w = prior.copy()
-    for again in range(2):
+    for again in range(2):  # words that one text has alone explain its label in the second fit only
+        inverse[len(FEATURES) :] = (3.0 if again == 0 else 1.0) / gram_scale**2
         w, speed = prior.copy(), np.zeros(size)
         square = np.full(size, 1e-3)
         for _ in range(rounds if len(flat) else 0):
@@ -338,7 +343,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 300, lexicon_scale: f
         if again == 0 and len(flat):  # labels that contradict the fit
             _, _, loss = loss_of(w)
             weight = (loss < 3.0).astype(float)
-    return Model(w[: len(FEATURES)], {g: float(w[i]) for g, i in vocabulary.items() if abs(w[i]) > 1e-3})
+    return Model(w[: len(FEATURES)], {g: float(w[i]) for g, i in vocabulary.items() if abs(w[i]) > 1e-3}, lexicon)
 
 
 def train(examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
@@ -348,8 +353,8 @@ def train(examples: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     return fit([r["text"] for r in sample], [int(r["label"]) for r in sample])
 
 
-def score(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
-    """(key, score, sentence, sentence_no, sentence_score) of every row of documents.
+def score(documents: DataFrame, model: Model, key: str = "doc_id", keep: str | None = None) -> DataFrame:
+    """(key, score, sentence, sentence_no, sentence_score) of every row of documents, and the string column `keep`.
 
     sentence is the most offending one, sentence_no its number from 1; null and blank texts score 0
     and have none. Rows keep their number. Texts are read whole.
@@ -359,14 +364,15 @@ def score(documents: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out = []
-            for k, text in zip(frame["key"], frame["text"]):
+            for k, text, kept in zip(frame["key"], frame["text"], frame["kept"]):
                 z = model.logits(text) if text and not text.isspace() else []
                 if not z:
-                    out.append((k, 0.0, None, None, None))
+                    out.append((k, 0.0, None, None, None, kept))
                     continue
                 worst = int(np.argmax(z))
-                out.append((k, noisy_or(z), sentences(canonical(text))[worst] if z[worst] > 0 else None, worst + 1 if z[worst] > 0 else None, float(1 / (1 + np.exp(-max(z[worst], -60.0))))))
-            yield pd.DataFrame(out, columns=["key", "score", "sentence", "sentence_no", "sentence_score"]).astype({"sentence_no": "Int32"})
+                out.append((k, noisy_or(z), sentences(canonical(text))[worst] if z[worst] > 0 else None, worst + 1 if z[worst] > 0 else None, float(1 / (1 + np.exp(-max(z[worst], -60.0)))), kept))
+            yield pd.DataFrame(out, columns=["key", "score", "sentence", "sentence_no", "sentence_score", "kept"]).astype({"sentence_no": "Int32"})
 
-    df = documents.select(F.col(key).alias("key"), F.col("text"))
-    return df.mapInPandas(run, f"key {kind}, score double, sentence string, sentence_no int, sentence_score double").withColumnRenamed("key", key)
+    df = documents.select(F.col(key).alias("key"), F.col("text"), (F.col(keep) if keep else F.lit(None)).cast("string").alias("kept"))
+    out = df.mapInPandas(run, f"key {kind}, score double, sentence string, sentence_no int, sentence_score double, kept string").withColumnRenamed("key", key)
+    return out.withColumnRenamed("kept", keep) if keep else out.drop("kept")

@@ -147,8 +147,13 @@ def p7_containers(spark: SparkSession, at: str) -> DataFrame:
 
 def p8_scores(spark: SparkSession, at: str) -> DataFrame:
     """(doc_id, score, sentence, sentence_no, sentence_score) of every document."""
+    return scored_documents(spark, at).drop("source")
+
+
+def scored_documents(spark: SparkSession, at: str) -> DataFrame:
+    """p8_scores with the source of each document, carried through the pass that scores."""
     model = moderation.train(table(spark, at, "moderation_examples"))
-    return moderation.score(table(spark, at, "documents"), model)
+    return moderation.score(table(spark, at, "documents"), model, keep="source")
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
@@ -158,7 +163,7 @@ def p8_found(spark: SparkSession, at: str) -> DataFrame:
 
 def p8_source_rates(spark: SparkSession, at: str) -> DataFrame:
     """Documents, offending documents and their share per source; a null source is ''."""
-    scores = p8_scores(spark, at).select("doc_id", "score").join(table(spark, at, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source")), "doc_id")
+    scores = scored_documents(spark, at).select(F.coalesce("source", F.lit("")).alias("source"), "score")
     found = F.sum((F.col("score") >= moderation.THRESHOLD).cast("long"))
     return scores.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), found.alias("found")).withColumn("share", F.round(F.col("found") / F.col("documents"), 6))
 

@@ -184,8 +184,7 @@ def test_noisy_or():
 
 
 def test_model_finds_the_sentence_and_unseen_forms(spark):
-    good = [f"{a} {b}" for a in PROSE for b in PROSE] + ["Kill the child process if it hangs.", "Sex education material was read by nurses."]
-    bad = [f"{a} You are a worthless loser, get lost." for a in PROSE] + ["All women are vermin.", "Free porn videos, hardcore sex."]
+    good, bad = labelled()  # the weights are learned, so the sample holds some of each kind
     rows = [(t, 0) for t in good] + [(t, 1) for t in bad] + [(PROSE[0], None), (None, 1), (" ", 1)]
     model = moderation.train(spark.createDataFrame(rows, "text string, label int"))
     held_out = {"You stupid moron, drop dead.": True, "Ausländer sind Ungeziefer.": True, "你全家都是蠢猪，不得好死。": True, "The master node kills the slave process.": False, PROSE[3]: False}
@@ -197,16 +196,50 @@ def test_model_finds_the_sentence_and_unseen_forms(spark):
 
 @pytest.mark.parametrize(
     ("sentence", "feature"),
-    [(s, "hostile") for s in ("get lost", "eat dirt", "shut up", "halt die klappe", "leck mich", "casse-toi", "vete al carajo", "cierra la boca")]
-    + [(s, "sexual") for s in ("clothes off", "on her knees", "come to bed")]
-    + [(s, "threat") for s in ("it should be put down", "they should be locked up")],
+    [(s, "hostile") for s in ("get lost", "shut up", "halt die klappe", "leck mich", "casse-toi", "vete al carajo", "cierra la boca", "闭上你的狗嘴")]
+    + [(s, "sex") for s in ("clothes off", "on her knees", "come to bed")]
+    + [("they should be shot", "harm"), ("girls are dumb", "group+demean"), ("you idiot", "aimed")],
 )
-def test_phrases_need_no_word_of_the_lexicon(sentence, feature):
-    assert feature in moderation.features(sentence, moderation.WORD.findall(sentence))
-    assert moderation.noisy_or(moderation.fit([], []).logits(f"{PROSE[0]} {sentence.capitalize()}. {PROSE[1]}")) >= moderation.THRESHOLD
+def test_features(sentence, feature):
+    found = moderation.features(sentence, moderation.WORD.findall(sentence))
+    assert feature in found or "+".join(reversed(feature.split("+"))) in found
+    assert set(found) <= set(moderation.FEATURES)
+
+
+def test_endings_bound_stems():
+    assert "insult" in moderation.CATEGORIES["idiots"] and "group" in moderation.CATEGORIES["foreigners"]
+    assert not moderation.CATEGORIES["pigment"] and not moderation.CATEGORIES["idiotypenhaus"]
+
+
+BAD = ["You are a worthless loser, get lost.", "You stupid bitch, drop dead.", "All women are vermin.", "Foreigners are filthy rats.", "Migrants are a plague.", "Watch my porn video, naked blowjob.", "Nobody wants you here, you idiot."]
+
+
+def labelled():
+    good = [f"{a} {b}" for a in PROSE for b in PROSE] + ["Kill the child process if it hangs.", "Sex education material was read by nurses."]
+    return good, [f"{a} {b}" for a in PROSE for b in BAD]
+
+
+def test_labels_decide():
+    """The weights come from the labels: without rows, or with the labels the other way round, the same sentence is no case."""
+    good, bad = labelled()
+    sentence = f"{PROSE[0]} You are a filthy bastard, go to hell. {PROSE[1]}"
+    score = lambda model: moderation.noisy_or(model.logits(sentence))
+    assert score(moderation.fit([], [])) < 0.01
+    assert score(moderation.fit(good + bad, [0] * len(good) + [1] * len(bad))) > 0.9
+    assert score(moderation.fit(good + bad, [1] * len(good) + [0] * len(bad))) < moderation.THRESHOLD
+    assert moderation.noisy_or(moderation.fit([], []).logits(" ".join(PROSE) * 200)) < moderation.THRESHOLD
+
+
+def test_without_the_lexicon_words_are_learned():
+    good, bad = labelled()
+    model = moderation.fit(good + bad, [0] * len(good) + [1] * len(bad), lexicon=False)
+    assert moderation.noisy_or(model.logits(f"{PROSE[2]} You are a worthless loser. {PROSE[3]}")) >= moderation.THRESHOLD
+    assert moderation.noisy_or(model.logits(f"{PROSE[2]} {PROSE[3]}")) < moderation.THRESHOLD
 
 
-def test_untrained_model():
-    model = moderation.fit([], [])
-    assert moderation.noisy_or(model.logits("You are a filthy bastard, go to hell.")) > 0.9
-    assert moderation.noisy_or(model.logits(" ".join(PROSE) * 200)) < moderation.THRESHOLD
+def test_wrong_labels_are_left_out():
+    good, bad = labelled()
+    texts, labels = good + bad, [0] * len(good) + [1] * len(bad)
+    odd = "The wide cache of Belmont can sustain 40 requests."
+    model = moderation.fit(texts + [odd], labels + [1])
+    assert moderation.noisy_or(model.logits(odd)) < moderation.THRESHOLD

@@ -232,7 +232,7 @@ def test_labels_decide():
 
 def test_without_the_lexicon_words_are_learned():
     good, bad = labelled()
-    model = moderation.fit(good + bad, [0] * len(good) + [1] * len(bad), lexicon=False)
+    model = moderation.fit(good + bad, [0] * len(good) + [1] * len(bad), lexicon=False, gram_scale=1.2)
     assert moderation.noisy_or(model.logits(f"{PROSE[2]} You are a worthless loser. {PROSE[3]}")) >= moderation.THRESHOLD
     assert moderation.noisy_or(model.logits(f"{PROSE[2]} {PROSE[3]}")) < moderation.THRESHOLD
 

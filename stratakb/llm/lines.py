@@ -65,7 +65,7 @@ def bare(line: str) -> str:
 
 def entries(line: str) -> list[str]:
     """The entries of a menu line: short parts between separators; empty when the line is none."""
-    if line.lstrip().startswith("|") or len(line) > 240:
+    if line.lstrip().startswith("|"):
         return []
     parts = [p for p in SEPARATOR.split(line.strip()) if p]
     if len(parts) < 2 or any(len(p) > 70 for p in parts) or sum(len(p) > 32 for p in parts) > 1 or END.search(parts[0]):
@@ -76,7 +76,7 @@ def entries(line: str) -> list[str]:
 @lru_cache(maxsize=200_000)
 def furniture_kind(line: str) -> str | None:
     """The kind of page furniture that a line says it is, by its words alone."""
-    if len(line) > 240 or not line.strip():
+    if not line.strip():
         return None
     if TABLE.match(line):
         return None
@@ -156,6 +156,6 @@ def related_items(lines: list[str], shape: list[str]) -> dict[int, int]:
             head = i
         elif kind is not None:
             head = None
-        elif head is not None and i - head <= 12 and len(line) <= 110:
+        elif head is not None:
             owner[i] = head
     return owner

@@ -152,6 +152,27 @@ def test_furniture(spark):
     assert furniture.furniture_lines(df.limit(0)).count() == 0
 
 
+def test_furniture_without_words(spark, monkeypatch):
+    """Lines of the page are found by what neighbouring pages share, even if no word list knows them."""
+    rows, want = [], set()
+    for i in range(12):
+        top = ["Zorbal bentuk", f"Kwelt / Vrom / Drusk {i}", "Wij gebruiken wat kruimels op deze site, ga daarmee akkoord.", ""]
+        body = [f"# Heading {i}", "", f"Sentence {i} about {'abcdefghijkl'[i] * 9} and more of it.", "* a list item", ""]
+        end = ["Plimpton reads", f"- Other page {i}", f"Odd {'abcdefghijkl'[i]} title", "", "Grolsch | Trink | Frob"]
+        rows.append((f"d{i}", f"d{i}-1", "h.example", f"https://h.example/docs/p{i:02d}", "\n".join(top + body + end)))
+        want |= {(f"d{i}-1", n) for n in (1, 2, 3, 10, 11, 12, 14)}
+    df = spark.createDataFrame(rows, "doc_id string, chunk_id string, source string, url string, content string")
+    assert all(L.furniture_kind(line) is None for r in rows for line in r[4].split("\n"))
+    judged = furniture.judged_lines(df).collect()
+    assert {(r.chunk_id, r.line_no) for r in judged} == want
+    assert {r.way for r in judged} == {"shared", "below"}
+
+
+def test_lines_that_differ_late_have_keys_of_their_own():
+    long = "word " * 60
+    assert furniture.line_key(long + "a", []) != furniture.line_key(long + "b", [])
+
+
 def test_copies_of_an_article_are_not_compared(spark):
     body = [f"Line {k} of an article that several addresses carry word for word." for k in range(8)]
     rows = [(f"d{i}", f"d{i}-1", "h.example", f"https://h.example/a{i}", "\n".join([*body, "Short label"])) for i in range(6)]

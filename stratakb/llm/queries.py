@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratakb.llm import bpe, furniture, knn, moderation, neardup, packing, residue, truncation
+from stratakb.operators.governance import latest
 from stratakb.session import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,8 +91,8 @@ def p3_groups(spark: SparkSession, at: str) -> DataFrame:
 
 
 def residue_records(spark: SparkSession, at: str) -> DataFrame:
-    chunks = table(spark, at, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("record_id"), F.col("content").alias("text"), "title")
-    answers = table(spark, at, "qa_answers").select(F.lit("qa_answers").alias("record_table"), F.col("answer_id").alias("record_id"), F.col("answer").alias("text"), F.lit(None).cast("string").alias("title"))
+    chunks = table(spark, at, "chunks").select(F.lit("chunks").alias("record_table"), F.col("chunk_id").alias("record_id"), F.col("content").alias("text"))
+    answers = table(spark, at, "qa_answers").select(F.lit("qa_answers").alias("record_table"), F.col("answer_id").alias("record_id"), F.col("answer").alias("text"))
     return chunks.unionByName(answers)
 
 
@@ -100,10 +101,22 @@ def p4_found(spark: SparkSession, at: str) -> DataFrame:
     return residue.residue(residue_records(spark, at))
 
 
+def without_residue(spark: SparkSession, at: str, name: str, key: str, order: str) -> DataFrame:
+    """The last row of each key of a table, without the records of p4_found; rows with a null key all stay."""
+    rows = table(spark, at, name)
+    gone = p4_found(spark, at).where(F.col("record_table") == name).select(F.col("record_id").alias(key))
+    kept = latest(rows, key, order).join(gone, key, "left_anti")
+    return kept.select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
+
+
 def p4_clean_chunks(spark: SparkSession, at: str) -> DataFrame:
     """Chunks, once each, without the records of p4_found."""
-    gone = p4_found(spark, at).where("record_table = 'chunks'").select(F.col("record_id").alias("chunk_id"))
-    return table(spark, at, "chunks").join(gone, "chunk_id", "left_anti").dropDuplicates(["chunk_id"])
+    return without_residue(spark, at, "chunks", "chunk_id", "ingested_at")
+
+
+def p4_clean_answers(spark: SparkSession, at: str) -> DataFrame:
+    """Answers, once each, without the records of p4_found."""
+    return without_residue(spark, at, "qa_answers", "answer_id", "logged_at")
 
 
 # --- 5: page furniture -------------------------------------------------------------------------------
@@ -176,6 +189,7 @@ QUERIES: dict[str, Query] = {
     "p1_source_rates": p1_source_rates,
     "p4_found": p4_found,
     "p4_clean_chunks": p4_clean_chunks,
+    "p4_clean_answers": p4_clean_answers,
     "p5_found": p5_found,
     "p5_content": p5_content,
     "p2_found": p2_found,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratakb.llm import lines as L
-from stratakb.llm.residue import is_whole_residue
+from stratakb.llm.residue import opens_with_residue
 from stratakb.session import cut
 
 #: A spike holds this many values and this many times the values of a usual length below it; at most this share is longer. Cuts may lose a broken character or trailing white space.
@@ -67,7 +67,7 @@ def ending(text: str, title: str | None) -> tuple[str, str, str]:
         body = value[: len(value) - len(tail) + marked.start()].rstrip()
         line = body.split("\n")[-1].strip()
         kind = L.shapes([line])[0] if line else "blank"
-        if kind == "table" or L.furniture_kind(last) is not None or is_whole_residue(value, title):
+        if kind == "table" or L.furniture_kind(last) is not None or opens_with_residue(value):
             return "whole", "", last
         if line and (kind not in ("item", "heading") or "�" in value[-3:]):
             return "mark", opening(SENTENCES.split(line)[-1]), last
@@ -78,7 +78,7 @@ def ending(text: str, title: str | None) -> tuple[str, str, str]:
         return "whole", opening(SENTENCES.split(lines[-1])[0]), last
     if L.furniture_kind(last) is not None or len(lines) - 1 in L.related_items(lines, shape):
         return "whole", "", last
-    if is_whole_residue(value, title):
+    if opens_with_residue(value):
         return "whole", "", last
     sentences = SENTENCES.split(last)
     if len(sentences) > 1 and STOP.search(sentences[0]):

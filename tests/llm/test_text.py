@@ -1,5 +1,6 @@
 """Truncation, residue, page furniture and moderation on small cases."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,7 +81,7 @@ def test_stubs(text):
 
 @pytest.mark.parametrize(
     "text",
-    ["404 Not Found", "# A title\n\nAccess denied\nIncident id: 1a2b3c4d", "Please enable JavaScript to view this page.", "页面不存在\n返回首页", "Lorem ipsum dolor sit amet. Magna aliqua velit.", "Request timed out nginx", "这里是占位文本，请替换为正式内容。", "undefined", "(no content yet)", "Seite nicht gefunden\nZurück zur Startseite", "**TOO MANY REQUESTS Your address was blocked for unusual traffic."],
+    ["404 Not Found", "# A title\n\nAccess denied", "Please enable JavaScript to view this page.", "页面不存在\n访问被拒绝", "Lorem ipsum dolor sit amet. Magna aliqua velit. Ut.", "Request timed out nginx", "这里是占位文本，请替换为正式内容。", "undefined", "(no content yet)", "Seite nicht gefunden", "**TOO MANY REQUESTS Just a moment", "blah " * 200, "占位文本\n" * 100, "test test 123"],
 )
 def test_whole_residue(text):
     assert residue.is_whole_residue(text)
@@ -91,40 +92,55 @@ def test_texts_about_residue(text):
     assert not residue.is_whole_residue(text)
 
 
-UNHINTED = "trop de requêtes|zeitüberschreitung|请稍候|请重试|您没有权限|请联系管理员|该链接已被移动|the server did not answer|die datei ist nicht verfügbar|关闭 javascript".split("|")
-
-
-@pytest.mark.parametrize("piece", UNHINTED)
-def test_pieces_that_a_pattern_fits_are_tried(piece):
-    assert residue._piece_kind(piece) in ("strong", "weak")
-    assert residue.is_whole_residue(f"404 Not Found\n{piece}")
+def test_pieces():
+    assert residue.pieces("# A title\nAccess denied Incident id: 9da3aee2\nTrace: at /a/b line 4 Go home.") == [("access denied", True), ("incident id: 0", False), ("trace: at 0 line 0", False), ("go home", False)]
+    assert residue.pieces("访问被拒绝 错误代码：2954 返回首页 请稍后。再见") == [("访问被拒绝", True), ("错误代码：0", True), ("返回首页", False), ("请稍后", False), ("再见", False)]
+    assert residue.pieces(" \n ") == []
 
 
 def test_the_pretest_follows_from_the_patterns():
-    for patterns, forms in ((residue.STRONG, residue.STRONG_FORMS), (residue.WEAK, residue.WEAK_FORMS)):
-        assert len(forms) == sum(len(residue._alternatives(p.pattern)) for p in patterns)
-        for pattern, bit in forms:
-            needed = residue._needed(residue.re._parser.parse(pattern.pattern))
-            assert (bit == 1) == (not needed)
-            for word in needed or ():
-                assert residue._hints(f"so {word}x so") & bit
-            for piece in UNHINTED:
-                assert not pattern.fullmatch(piece) or residue._hints(piece) & bit
+    assert len(residue.STRONG_FORMS) == sum(len(residue._alternatives(p.pattern)) for p in residue.STRONG)
+    for pattern, bit in residue.STRONG_FORMS:
+        needed = residue._needed(residue.re._parser.parse(pattern.pattern))
+        assert bit > 1 and needed
+        for word in needed:
+            assert residue._hints(f"so {word}x so") & bit
     assert residue._needed(residue.re._parser.parse(r"ab?c(?:de|fg)h*")) in ({"de", "fg"},)
     assert residue._needed(residue.re._parser.parse(r"a*|b")) is None
 
 
-def test_residue_spreads_to_near_copies(spark):
-    notice = "Something went wrong. The page may have been moved or removed. Our team has been told about it. Please try again in 30 seconds."
-    odd = notice + " Zorbal."  # the rules don't know the last word
-    rows = [("chunks", "a", notice, None), ("chunks", "b", odd, None), ("qa_answers", "c", PROSE[0], None), ("chunks", "d", None, None), ("chunks", "e", "  ", None), ("chunks", "a", notice, None), ("qa_answers", "f", "Dear {{ name }}.", None)]
-    df = spark.createDataFrame(rows, "record_table string, record_id string, text string, title string").withColumn("cls", F.lit(1))
-    got = {(r.record_table, r.record_id) for r in residue.residue(df, hamming=12).collect()}
-    assert not residue.is_whole_residue(odd)
-    assert got == {("chunks", "a"), ("chunks", "b"), ("qa_answers", "f")}
+HEADS = ["404 Not Found", "Access denied", "Bad gateway", "Session expired"]
+REST = ["Zumbal the page has gone elsewhere.", "Grelp to the porch. Ref 9da3aee2", "Vromple for 27 seconds."]
+
+
+def test_companions_are_learned(spark):
+    """What stands on residue pages and hardly elsewhere is found though no list knows it; an article that quotes a page teaches nothing."""
+    rows = [("chunks", f"k{i}", f"# Title {i}\n{HEADS[i % 4]}\n{REST[i % 3]}") for i in range(24)]
+    rows += [("qa_answers", "mixed", f"{REST[0]}\n{REST[1].replace('9da3aee2', '0badc0de')}"), ("chunks", "alone", REST[2].replace("27", "4"))]
+    quoting = f"{PROSE[0]} {PROSE[1]} {PROSE[2]} {PROSE[3]}\n404 Not Found\n"
+    rows += [("chunks", f"q{i}", quoting) for i in range(4)] + [("chunks", "text", PROSE[0]), ("chunks", "part", f"{REST[0]} {PROSE[2]}")]
+    df = spark.createDataFrame(rows, "record_table string, record_id string, text string")
+    got = {r.record_id: r.way for r in residue.judged_records(df).collect()}
+    assert got == {f"k{i}": "companions" for i in range(24)} | {"mixed": "companions", "alone": "companions"}
+
+
+def test_labels_spread_to_near_copies(spark):
+    """Near copies of a learned notice, in no list and with no piece in common, are reached through SimHash, text similarity and components."""
+    notice = "bramble the harbour is closed for the whole season and all visitors are asked to come back when the tide has turned once more"
+    rows = [("chunks", f"k{i}", f"404 Not Found\n{notice}.") for i in range(3)] + [("chunks", "bare", notice)]
+    rows += [("chunks", "odd", f"{notice} today"), ("qa_answers", "odder", f"{notice} today friends"), ("chunks", "far", "bramble the harbour is open " + PROSE[0])]
+    rows += [("chunks", "a", None), ("chunks", "b", "  "), rows[0], ("qa_answers", "f", "Dear {{ name }}."), (None, "g", None), ("chunks", "h", "???")]
+    df = spark.createDataFrame(rows, "record_table string, record_id string, text string").withColumn("cls", F.lit(1)).withColumn("title", F.lit(2))
+    got = {r.record_id: r.way for r in residue.judged_records(df, hamming=12).collect()}
+    assert got == {"k0": "companions", "k1": "companions", "k2": "companions", "bare": "companions", "f": "placeholder", "odd": "spread", "odder": "spread"}
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_simhash():
+    words = [np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 2, 70, 3)] * 40
+    assert [residue.simhashes([w])[0] for w in words] == list(residue.simhashes(words))
+
+
 # --- page furniture ----------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,42 +37,46 @@ UNSTOPPED = re.compile(r"(?:\b(?:version|versión|v)|从) ?\d+\.$", re.I)
 SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 
 
+#: Articles and other short words that open a sentence in front of a capital without being part of a name.
+DETERMINERS = frozenset("the a an this that these those each every all no one any some most our your its their his her my what which who why how when where if to in on for from with by as at of and or but not der die das ein eine einen einem einer diese dieser dieses jede jeder jedes alle kein keine wer was wie wo wann wenn im in am an auf aus bei für mit nach von vor zu zum zur und oder aber bitte le la les l un une des du de ce cette ces chaque tous toutes aucun si en dans sur pour par avec et ou mais el los las lo uno una unos unas este esta estos cada todo todos ningún si en con por para del al y o pero".split())
+
+
 def opening(text: str) -> str:
-    """What a clause opens with: its first word, or its first two characters in CJK; names as one."""
+    """What a clause opens with: its first word, or its first two characters in CJK; names (two words with capitals, or capitals inside) as one."""
     text = text.lstrip("*_#>-•→ \t\"'“«(")
     if L.CJK.match(text):
         return text[:2]
-    words = text.split()
+    words = text.split(None, 2)
     if not words:
         return ""
     first = words[0]
     if first.startswith("`"):
         return "`"
-    if re.search(r"[a-z][A-Z]", first) or (len(words) > 1 and words[1] in ("Hub", "Store", "Graph")):
+    low = first.lower().strip(",.:;")
+    if re.search(r"[a-z][A-Z]", first) or (len(words) > 1 and first[0].isupper() and words[1][0].isupper() and low not in DETERMINERS):
         return "<name>"
-    return first.lower().strip(",.:;")
+    return low
 
 
-def ending(text: str, title: str | None) -> tuple[str, str, str]:
+def ending(text: str) -> tuple[str, str, str]:
     """(verdict, opening, last line): 'mark', 'open' (several sentences, the last unfinished), 'clause'
-    (one unfinished clause), 'short' (a short line that may be a label) or 'whole'."""
+    (one unfinished clause, prose or not) or 'whole'."""
     value = text.rstrip()
     lines = value.split("\n")
     shape = L.shapes(lines)
     last = lines[-1].strip()
     if shape[-1] in ("code", "table", "heading"):
         return "whole", "", last
-    tail = value[-300:]  # a mark stands at the end
-    marked = MARK.search(tail) or BROKEN.search(tail)
-    if marked and marked.start() + len(value) - len(tail) > 0:
-        body = value[: len(value) - len(tail) + marked.start()].rstrip()
+    marked = MARK.search(lines[-1]) or BROKEN.search(lines[-1])  # a mark stands at the end of the last line
+    if marked and marked.start() + len(value) - len(lines[-1]) > 0:
+        body = value[: len(value) - len(lines[-1]) + marked.start()].rstrip()
         line = body.split("\n")[-1].strip()
         kind = L.shapes([line])[0] if line else "blank"
         if kind == "table" or L.furniture_kind(last) is not None or opens_with_residue(value):
             return "whole", "", last
         if line and (kind not in ("item", "heading") or "�" in value[-3:]):
             return "mark", opening(SENTENCES.split(line)[-1]), last
-    if shape[-1] == "item" and not (len(last) > 70 and SENTENCES.search(last)):
+    if shape[-1] == "item" and len(SENTENCES.split(L.ITEM.sub("", last))) < 2:
         return "whole", "", last
     open_tick = last.count("`") % 2 == 1
     if STOP.search(last) and not UNSTOPPED.search(last) and not open_tick:
@@ -89,20 +94,28 @@ def ending(text: str, title: str | None) -> tuple[str, str, str]:
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         out = []
-        for chunk, source, title, summary, content in zip(frame["chunk_id"], frame["source"], frame["title"], frame["summary"], frame["content"]):
+        for chunk, source, summary, content in zip(frame["chunk_id"], frame["source"], frame["summary"], frame["content"]):
             for field, text in (("summary", summary), ("content", content)):
                 if text and not text.isspace():
-                    verdict, first, last = ending(text, title)
-                    out.append((chunk, source, field, len(text), len(text.encode("utf-8", "replace")), verdict, first, last if verdict == "clause" else None))
-        yield pd.DataFrame(out, columns=["chunk_id", "source", "field", "chars", "bytes", "verdict", "opening", "last"])
+                    verdict, first, last = ending(text)
+                    clause = verdict == "clause"
+                    before = text.rstrip()[: -len(last)] if clause and last else ""
+                    out.append((chunk, source, field, len(text), len(text.encode("utf-8", "replace")), verdict, first or None, _hash(last) if clause else None, _hash(before) if clause else None))
+        frame = pd.DataFrame(out, columns=NAMES, dtype=object)
+        yield frame.astype({"chars": "int32", "bytes": "int32", "last": "Int64", "before": "Int64"})
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
-ENDS = "chunk_id string, source string, field string, chars int, bytes int, verdict string, opening string, last string"
+ENDS = "chunk_id string, source string, field string, chars int, bytes int, verdict string, opening string, last long, before long"
+NAMES = [c.split()[0] for c in ENDS.split(", ")]
 
 
 def value_ends(chunks: DataFrame) -> DataFrame:
     """How each non-blank summary and content ends, once per chunk_id and field."""
-    rows = chunks.where("chunk_id is not null").select("chunk_id", F.coalesce("source", F.lit("")).alias("source"), "title", "summary", "content")
+    rows = chunks.where("chunk_id is not null").select("chunk_id", F.coalesce("source", F.lit("")).alias("source"), "summary", "content")
     return cut(rows.mapInPandas(_ends, ENDS).dropDuplicates(["chunk_id", "field"]), "ends")
 
 
@@ -125,8 +138,11 @@ def spikes(ends: DataFrame) -> DataFrame:
 def truncated(chunks: DataFrame) -> DataFrame:
     """(chunk_id, field, at_limit): the values of summary and content that were cut.
 
-    Null and blank values are none; rows repeated by a later ingest count once; a null source counts as
-    a source of its own; an empty table gives an empty result.
+    at_limit says that the length lies at a spike of its source and column, which then decides: there a
+    value without a finished end is cut. Elsewhere the mark of a cut, an unfinished sentence behind
+    others, or an unfinished clause that opens like prose decides. Null and blank values are none; rows
+    repeated by a later ingest count once; a null source counts as a source of its own; an empty table
+    gives an empty result.
     """
     return _judge(value_ends(chunks))
 
@@ -134,13 +150,15 @@ def truncated(chunks: DataFrame) -> DataFrame:
 def _judge(ends: DataFrame) -> DataFrame:
     limit = spikes(ends).groupBy("source", "field").agg(F.max(F.when(F.col("unit") == "chars", F.col("length"))).alias("max_chars"), F.max(F.when(F.col("unit") == "bytes", F.col("length"))).alias("max_bytes"))
     at = lambda c, m: F.coalesce(F.col(c).between(F.col(m) - SLACK, F.col(m)), F.lit(False))
-    rows = ends.join(limit, ["source", "field"], "left").withColumn("at_limit", at("chars", "max_chars") | at("bytes", "max_bytes"))
-    stops = ends.where("opening <> ''").groupBy("field", "opening").agg(F.avg((F.col("verdict") == "whole").cast("double")).alias("stops"))
-    label = ends.where("verdict = 'clause'").groupBy("source", "field", "last").agg(F.count(F.lit(1)).alias("same"))
-    rows = rows.join(stops, ["field", "opening"], "left").join(label, ["source", "field", "last"], "left")
-    least = F.when(F.col("at_limit"), F.lit(PROSE_AT_SPIKE)).otherwise(F.lit(PROSE))
-    clause = (F.col("verdict") == "clause") & (F.coalesce("stops", F.lit(0.0)) >= least) & (F.col("at_limit") | (F.coalesce("same", F.lit(0)) < 3) | (F.length("last") > 40))
-    return rows.where((F.col("verdict") == "mark") | (F.col("verdict") == "open") | clause).select("chunk_id", "field", "at_limit")
+    rows = ends.where("verdict <> 'whole'").join(limit, ["source", "field"], "left").withColumn("at_limit", at("chars", "max_chars") | at("bytes", "max_bytes"))
+    sure = rows.where("verdict <> 'clause'").select("chunk_id", "field", "at_limit")
+    # single clauses: do values that open like them end with a stop, and is the clause a label that ends many different texts?
+    stops = ends.where("opening is not null").groupBy("field", "opening").agg(F.avg((F.col("verdict") == "whole").cast("double")).alias("stops"))
+    clauses = rows.where("verdict = 'clause'")
+    label = clauses.groupBy("source", "field", "last").agg(F.count_distinct("before").alias("same"))
+    clauses = clauses.where("opening is not null").join(stops, ["field", "opening"]).join(label, ["source", "field", "last"])
+    prose = F.col("stops") >= F.when(F.col("at_limit"), F.lit(PROSE_AT_SPIKE)).otherwise(F.lit(PROSE))
+    return sure.unionByName(clauses.where(prose & (F.col("at_limit") | (F.col("same") < 3))).select("chunk_id", "field", "at_limit"))
 
 
 def source_rates(chunks: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ PROSE = ["The cache keeps every page until the index has been rebuilt.", "Reader
     ],
 )
 def test_endings(text, verdict):
-    assert truncation.ending(text, None)[0] == verdict
+    assert truncation.ending(text)[0] == verdict
 
 
 def test_truncated(spark):
@@ -57,6 +57,25 @@ def test_truncated(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_the_spike_decides(spark):
+    """The same kind of clause is cut at a spike of its source and whole elsewhere."""
+    clause = "Zorbal pages of the wide index that the crawler has kept since"
+    rows = [(f"w{i:03d}", "usual", "t", f"Zorbal {'x' * (i % 30)} pages are kept." if i % 5 == 0 else f"Zorbal {'x' * (i % 30)} pages", "Done.") for i in range(300)]
+    rows += [(f"k{i:02d}", "h", "t", f"{clause} {i:02d} years and more"[:60], "Done.") for i in range(40)]
+    rows += [(f"o{i:02d}", "other", "t", f"{clause} {i:02d} years and more"[:60] + "y" * (3 * i), "Done.") for i in range(40)]
+    df = spark.createDataFrame(rows, "chunk_id string, source string, title string, summary string, content string")
+    got = truncation.truncated(df).collect()
+    assert {r.chunk_id for r in got} == {f"k{i:02d}" for i in range(40)} and all(r.at_limit for r in got)
+
+
+def test_names_and_long_lines():
+    assert truncation.opening("Quorvex Hub keeps") == truncation.opening("OrmereDB keeps") == "<name>"
+    assert truncation.opening("The Hub keeps") == "the" and truncation.opening("der Speicher") == "der"
+    long = "word " * 200
+    assert truncation.ending(f"One sentence. Another {long}…")[0] == "mark"
+    assert truncation.ending("Text.\n- One sentence. Another that is wh")[0] == "open"
+
+
 # --- residue -----------------------------------------------------------------------------------------
 
 PLACEHOLDERS = "{{ name }}|${user.name}|[[title]]|<%= x %>|#{price}|%CUSTOMER%|{%item%}|%(name)s|@@ITEM@@|<<SITE NAME>>|__TEAM__|{site_name}|[INSERT NAME HERE]|[Your Company]|[DOC TITLE]|<contact email here>|[object Object]|XXXXX|(add owner)|«company»".split("|")

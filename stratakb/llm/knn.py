@@ -4,8 +4,9 @@ Every vector is scaled to unit length and projected on M Gaussian directions; fl
 direction is its home cell. A query also visits perturbed cells, in the order of the estimated
 probability that a vector at the target distance lies there, until that probability adds up to
 `success`. Cells are the shuffle keys; inside a cell, finer tables of the same family (again with
-perturbed buckets) or a scan in blocks give candidates whose distances are computed from the vectors.
-The lists of all cells are merged to the k best of each query.
+perturbed buckets) or a scan in blocks give candidates. Vectors travel as 16-bit fixed-point numbers,
+which keep cosines to EPS; lists in which that could change the result are ranked again by the
+cosines of the given vectors. The lists of all cells are merged to the k best of each query.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from stratakb.session import cut
 
+#: Components are rounded to 1/32767, so a cosine of 64 of them is off by less than this.
+EPS = 2.5e-4
 NEAR = np.dtype([("c", "<i8"), ("s", "<f4")])
 
 
@@ -74,27 +77,28 @@ class Cells:
         h = np.floor(p)
         return self._code(h), h, (p - h) * self.w
 
-    def probes(self, x: np.ndarray, distance: float, success: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell) of the cells to visit, the home cell among them, at most `most` of a row."""
-        if most <= 1 or not len(x):
+    def probes(self, x: np.ndarray, distance: float, success: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of the cells to visit, the home cell among them: until the success adds up, or the first `most`."""
+        if most == 1 or not len(x):
             return np.arange(len(x)), self.home(x)[0]
-        step = 8192  # the scores of a block of rows stay in the cache
+        step = 8192 if self.m < 5 else 1024  # the scores of a block of rows stay in the cache
         parts = [self._probes(x[i : i + step], distance, success, most) for i in range(0, len(x), step)]
         return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
 
-    def _probes(self, x: np.ndarray, distance: float, success: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def _probes(self, x: np.ndarray, distance: float, success: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
         code, h, inside = self.home(x)
         n, m = h.shape
         offsets = np.array([-2, -1, 1, 2])
         edges = [_normal_cdf((i * self.w - inside) / distance) for i in range(-2, 4)]
         mass = {o: np.maximum(edges[o + 3] - edges[o + 2], 1e-12) for o in (-2, -1, 0, 1, 2)}
         ratio = np.stack([mass[o] / mass[0] for o in offsets], 2).reshape(n, m * 4)  # of leaving the home cell along a direction
-        j = min(8, 4 * m)
+        # what is likely to be left of the probability lies in few changes of the likeliest directions
+        j = min(8 if m < 5 or most else 14, 4 * m)
         best = np.argsort(-ratio, axis=1)[:, :j]
         gain = np.log(np.take_along_axis(ratio, best, 1))
         dims, steps = best // 4, offsets[best % 4]
         stay = np.log(mass[0]).sum(1)
-        sets = _subsets(j, min(3, m))
+        sets = _subsets(j, min(3 if m < 5 or most else 4, m))
         score = np.full((n, len(sets)), -np.inf)
         for s, chosen in enumerate(sets):
             value = stay + gain[:, list(chosen)].sum(1) if chosen else stay
@@ -127,26 +131,27 @@ COPY = pa.schema([("key", pa.int64()), ("cell", pa.int64()), ("home", pa.bool_()
 
 
 def _units(v: pa.Array, dim: int) -> np.ndarray:
-    """Unit vectors (float32) of packed half floats."""
+    """Unit vectors (float32) of packed 16-bit numbers."""
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
-    x = np.frombuffer(v.buffers()[2], "<f2", len(v) * dim, int(np.frombuffer(v.buffers()[1], "<i4")[v.offset])).reshape(len(v), dim).astype(np.float32)
+    x = np.frombuffer(v.buffers()[2], "<i2", len(v) * dim, int(np.frombuffer(v.buffers()[1], "<i4")[v.offset])).reshape(len(v), dim).astype(np.float32)
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
-    """The usable vectors as half floats."""
+    """The usable vectors as unit vectors in 16-bit fixed point."""
     for batch in batches:
         at, x = usable_units(batch.column("vec"), dim)
         if not len(at):
             continue
         at = pa.array(at)
         ends = pa.py_buffer((np.arange(len(at) + 1) * 2 * dim).astype(np.int32))
-        v = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(x.astype("<f2").tobytes())])
+        v = pa.Array.from_buffers(pa.binary(), len(at), [None, ends, pa.py_buffer(np.rint(x * 32767).astype("<i2").tobytes())])
         yield pa.record_batch([batch.column("key").take(at), batch.column("query").fill_null(False).take(at), v], names=["key", "query", "v"])
 
 
-def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed: int, distance: float, success: float, most: int, vectors: bool) -> Iterator[pa.RecordBatch]:
+def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed: int, distance: float, success: float, vectors: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with the cells they lie in or ask; without vectors, how many rows of each cell do so."""
     table = Cells(seed, dim, m, w)
     for batch in batches:
         if not batch.num_rows:
@@ -154,11 +159,13 @@ def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed:
         x = _units(batch.column("v"), dim)
         key, query = np.asarray(batch.column("key")), np.asarray(batch.column("query"))
         home, _, _ = table.home(x)
+        asks = np.flatnonzero(query)
+        r, c = table.probes(x[asks], distance, success)
         if not vectors:
-            yield pa.record_batch([pa.array(home)], names=["cell"])
+            cells, at = np.unique(np.concatenate([home, c]), return_inverse=True)
+            lie, ask = np.bincount(at[: len(home)], minlength=len(cells)), np.bincount(at[len(home) :], minlength=len(cells))
+            yield pa.record_batch([pa.array(cells), pa.array(lie), pa.array(ask)], names=["cell", "lie", "ask"])
             continue
-        asks = np.flatnonzero(query)
-        r, c = table.probes(x[asks], distance, success, most)
         r = asks[r]
         away = c != home[r]
         rows = np.concatenate([np.arange(len(x)), r[away]])
@@ -283,24 +290,58 @@ def _members_best(near: DataFrame, members: DataFrame, k: int, min_sim: float) -
         lists = best.join(asked, "id", "left").select(F.coalesce("asker", "id").alias("key"), "near", "sim").where("key <> near")
 
 
-def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 64, cell_rows: int = 150_000, distance: float = 0.35, success: float = 0.97, most_cells: int | None = None, tables: int = 6, probes: int = 3, scan: bool = False, seed: int = 20) -> DataFrame:
+def _full(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """The usable vectors in fixed point and as unit vectors in double precision."""
+    for batch in batches:
+        at, x = usable_units(batch.column("vec"), dim)
+        if len(at):
+            full = [row.tobytes() for row in np.asarray(batch.column("vec").take(pa.array(at)).flatten().cast(pa.float64())).reshape(-1, dim)]
+            v = [row.tobytes() for row in np.rint(x * 32767).astype("<i2")]
+            yield pa.record_batch([batch.column("key").take(pa.array(at)), pa.array(v, pa.binary()), pa.array(full, pa.binary())], names=["key", "v", "full"])
+
+
+def _exact(lists: DataFrame, vectors: DataFrame, k: int, min_sim: float, dim: int) -> DataFrame:
+    """(key, near, sim) of lists (key, near, sim), ranked by the cosines of the given vectors (key, vec).
+
+    An id is a key or a class of equal vectors; of several vectors of one key the best pair counts.
+    """
+    ids = lists.select(F.explode(F.array("key", "near")).alias("id")).distinct()
+    full = vectors.mapInArrow(lambda b: _full(b, dim), "key long, v binary, full binary")
+    full = full.select(F.explode(F.array_distinct(F.array("key", F.xxhash64("v")))).alias("id"), "full").join(ids, "id").distinct()
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(-1, dim) for c in ("x", "y"))
+            scale = 1 / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None], 1 / np.maximum(np.abs(y).max(1, initial=0), 1e-300)[:, None]
+            x, y = x * scale[0], y * scale[1]
+            sims = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            yield pa.record_batch([batch.column("key"), batch.column("near"), pa.array(sims)], names=["key", "near", "sim"])
+
+    a, b = full.select(F.col("id").alias("key"), F.col("full").alias("x")), full.select(F.col("id").alias("near"), F.col("full").alias("y"))
+    pairs = lists.select("key", "near").join(a, "key").join(b, "near").select("key", "near", "x", "y")
+    sims = pairs.mapInArrow(cosines, "key long, near long, sim double").groupBy("key", "near").agg(F.max("sim").alias("sim")).where(F.col("sim") >= min_sim)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "near"))
+    return sims.withColumn("n", rank).where(F.col("n") <= k).drop("n")
+
+
+def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 64, cell_rows: int = 150_000, distance: float = 0.45, success: float = 0.97, tables: int = 6, probes: int = 3, scan: bool = False, seed: int = 20) -> DataFrame:
     """(key, near, sim): the k most similar other keys of every query row of df (key, vec, query).
 
     Vectors of another length than dim, with null or non-finite values, or all zero are left out; rows
     of one key with the same vector count once; ties are ordered by key; an empty table gives an empty
     result. Equal vectors are one class that is searched once; a table of its keys gives each its list.
-    The number of directions follows the row count so that cells stay near cell_rows; a cell of
-    over four times that is split into salted parts: each row is indexed in one of them and asks all.
-    min_sim drops candidates below that cosine. A query visits cells until the estimated success for a
-    neighbour at `distance` reaches `success`: recall stays where it is as cells multiply, and the copies
-    of a query grow slowly (2.0 with one direction, 3.4 with two, 5.5 with three, 9.3 with four).
+    The number of directions follows the row count so that cells stay near cell_rows. A cell with over
+    twice that many rows, or asked by over four times as many, is split on a grid: its rows in one
+    direction and its queries in the other, so no task holds more than that of either, and every query
+    still meets every row. min_sim drops candidates below that cosine. A query visits cells until the
+    estimated success for a neighbour at `distance` reaches `success`, however many they are: recall
+    stays where it is as cells multiply, and the copies of a query grow (README has both by directions).
     """
-    spark = df.sparkSession
-    df = df.select("key", "vec", "query")
     rows = df.count()
+    given = df.select("key", "vec", "query")
     m = max(1, math.ceil(math.log(max(rows / cell_rows, 1.5)) / math.log(2.7)))
-    w, cap = 1.5, 4 * cell_rows
-    packed = df.mapInArrow(lambda b: _packed(b, dim), "key long, query boolean, v binary").withColumn("cls", F.xxhash64("v"))
+    w, held, asked = 1.5, 2 * cell_rows, 4 * cell_rows
+    packed = given.mapInArrow(lambda b: _packed(b, dim), "key long, query boolean, v binary").withColumn("cls", F.xxhash64("v"))
     repeated = cut(packed.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).where("n > 1").select("cls", "lo", "hi"), "repeated")
     shared = repeated.where("lo < hi").select("cls")
     once = packed.join(repeated, "cls").groupBy("cls").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.max("query").alias("query"), F.first("v").alias("v"))
@@ -308,19 +349,25 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
     df = packed.join(repeated, "cls", "left_anti").select("key", "query", "v").unionByName(once)
     members = None if shared.isEmpty() else cut(packed.join(shared, "cls").groupBy("cls", "key").agg(F.max("query").alias("query")), "members")
     k2 = k if members is None else k + 4
-    most = most_cells or min(2 ** (m + 1), 64)
-    size, k1 = df.mapInArrow(lambda b: _copies(b, dim, m, w, seed, distance, success, most, False), "cell long"), k + 4
-    hot = F.broadcast(size.groupBy("cell").count().where(F.col("count") > cap).select("cell", F.ceil(F.col("count") / cap).cast("int").alias("parts")))  # at most rows / cap rows
-    copies = df.mapInArrow(lambda b: _copies(b, dim, m, w, seed, distance, success, most, True), "key long, cell long, home boolean, query boolean, v binary")
-    copies = copies.join(hot, "cell", "left").withColumn("own", F.pmod(F.xxhash64("key"), F.coalesce("parts", F.lit(1))).cast("int"))
-    copies = copies.withColumn("part", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array("own"))))
-    copies = copies.select("key", "cell", "part", (F.col("home") & (F.col("part") == F.col("own"))).alias("home"), "query", "v")
+    k1 = k2 + 4  # what rounding could bring in
+    count = df.mapInArrow(lambda b: _copies(b, dim, m, w, seed, distance, success, False), "cell long, lie long, ask long").groupBy("cell").agg(F.sum("lie").alias("lie"), F.sum("ask").alias("ask"))
+    split = lambda n, most: F.greatest(F.ceil(F.col(n) / most), F.lit(1)).cast("int")
+    hot = F.broadcast(count.select("cell", split("lie", held).alias("ni"), split("ask", asked).alias("nq")).where("ni * nq > 1"))  # at most rows / held + copies / asked rows
+    copies = df.mapInArrow(lambda b: _copies(b, dim, m, w, seed, distance, success, True), "key long, cell long, home boolean, query boolean, v binary")
+    copies = copies.join(hot, "cell", "left").withColumns({"ni": F.coalesce("ni", F.lit(1)), "nq": F.coalesce("nq", F.lit(1))})
+    copies = copies.withColumns({"i": F.pmod(F.xxhash64("key"), "ni").cast("int"), "q": F.pmod(F.xxhash64("key", F.lit(1)), "nq").cast("int")})
+    lies = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("nq") - 1), lambda q: F.col("i") * F.col("nq") + q)).otherwise(F.array().cast("array<int>"))
+    asks = F.when(F.col("query"), F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: i * F.col("nq") + F.col("q"))).otherwise(F.array().cast("array<int>"))
+    copies = copies.withColumn("part", F.explode(F.array_union(lies, asks)))
+    own_i, own_q = F.floor(F.col("part") / F.col("nq")) == F.col("i"), F.col("part") % F.col("nq") == F.col("q")
+    copies = copies.select("key", "cell", "part", (F.col("home") & own_i).alias("home"), (F.col("query") & own_q).alias("query"), "v")
+    low = max(min_sim - EPS, -1.0)
 
     def one(group: pa.Table) -> pa.Table:
         key = np.asarray(group.column("key"))
         x = _units(group.column("v"), dim)
         home, query = np.asarray(group.column("home")), np.asarray(group.column("query"))
-        q, c, s = search_cell(key, home, query, x, k, min_sim, tables, probes, distance, scan, seed)
+        q, c, s = search_cell(key, home, query, x, k1, low, tables, probes, distance, scan, seed)
         _, dense = np.unique(key, return_inverse=True)  # rows repeated under one key count once
         first = np.zeros(dense.max() + 1, int)
         first[dense[::-1]] = np.arange(len(key))[::-1]
@@ -340,8 +387,17 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
             near = np.frombuffer(b"".join(joined), NEAR)
             q = np.repeat(np.arange(len(key)), [len(x) // NEAR.itemsize for x in joined])
             cand, c = np.unique(near["c"], return_inverse=True)
-            q, c, s = _best(q, c, near["s"], key, cand, k2)
-            yield pa.record_batch([pa.array(key[q]), pa.array(cand[c]), pa.array(s.astype(np.float64))], names=["key", "near", "sim"])
-
-    near = lists.groupBy("key").agg(F.collect_list("near").alias("lists")).mapInArrow(merge, "key long, near long, sim double")
+            q, c, s = _best(q, c, near["s"], key, cand, k1)
+            start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
+            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+            doubt = np.zeros(len(key), bool)
+            doubt[q[np.abs(s - min_sim) <= EPS]] = True
+            last = np.flatnonzero((rank == k2) & (s - min_sim > -EPS))
+            doubt[q[last[s[last - 1] - s[last] <= 2 * EPS]]] = True
+            keep = doubt[q] | ((rank < k2) & (s >= min_sim))
+            yield pa.record_batch([pa.array(key[q[keep]]), pa.array(cand[c[keep]]), pa.array(s[keep].astype(np.float64)), pa.array(doubt[q[keep]])], names=["key", "near", "sim", "doubt"])
+
+    near = cut(lists.groupBy("key").agg(F.collect_list("near").alias("lists")).mapInArrow(merge, "key long, near long, sim double, doubt boolean"), "near")
+    exact = F.col("doubt") if min_sim > -1 else F.lit(True)  # of a few queries all cosines are exact
+    near = near.where(~exact).select("key", "near", "sim").unionByName(_exact(near.where(exact), given, k2, min_sim, dim))
     return near if members is None else _members_best(near, members, k, min_sim)

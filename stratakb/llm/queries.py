@@ -58,7 +58,7 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
 def p2_topk(spark: SparkSession, at: str) -> DataFrame:
     """(chunk_id, rank, near_chunk_id, sim) for the query set id % 100 = 0 against all chunk vectors."""
     asked = chunk_vectors(spark, at).withColumn("query", F.col("id") % 100 == 0)
-    near = knn.most_similar(asked, k=10, distance=1.0, success=0.98, most_cells=40, scan=True)
+    near = knn.most_similar(asked, k=10, distance=1.0, success=0.98, scan=True)
     names = chunk_names(spark, at)
     a = names.select("key", "chunk_id")
     b = names.select(F.col("key").alias("near"), F.col("chunk_id").alias("near_chunk_id"))

@@ -41,7 +41,7 @@ def test_close_pairs_are_found(spark):
 def test_query_set_recall(spark):
     x = clustered(2000, 2)
     asked = set(range(0, 2000, 100))
-    got = {(r.key, r.near) for r in knn.most_similar(frame(spark, x, asked), k=10, distance=1.0, success=0.98, most_cells=40, scan=True, cell_rows=500).collect()}
+    got = {(r.key, r.near) for r in knn.most_similar(frame(spark, x, asked), k=10, distance=1.0, success=0.98, scan=True, cell_rows=500).collect()}
     want = {p for p in exact(x, 10, -1) if p[0] in asked}
     assert {a for a, _ in got} == asked and len(got & want) >= 0.9 * len(want)
 
@@ -49,7 +49,7 @@ def test_query_set_recall(spark):
 def test_hot_cell_is_split_without_loss(spark):
     x = clustered(900, 3)
     x[:300] = x[0]  # a third of all rows are one vector
-    one = {(r.key, r.near) for r in knn.most_similar(frame(spark, x), k=3, min_sim=0.9, cell_rows=60, most_cells=12, scan=True).collect() if r.key >= 300}
+    one = {(r.key, r.near) for r in knn.most_similar(frame(spark, x), k=3, min_sim=0.9, cell_rows=60, scan=True).collect() if r.key >= 300}
     want = {p for p in exact(x, 3, 0.9) if p[0] >= 300}
     assert len(one & want) >= 0.97 * len(want)
 
@@ -115,7 +115,41 @@ def test_rows_inserted_again_take_no_place(spark):
     x = clustered(400, 10)
     df = frame(spark, x, set(range(0, 400, 20)))
     many = df.unionByName(df).unionByName(df).unionByName(df.where("key = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200)))).drop("n"))
-    asked = {"k": 10, "distance": 1.0, "success": 0.98, "most_cells": 40, "scan": True}
+    asked = {"k": 10, "distance": 1.0, "success": 0.98, "scan": True}
     once = {(r.key, r.near) for r in knn.most_similar(df, **asked).collect()}
     again = [(r.key, r.near) for r in knn.most_similar(many, **asked).collect()]
     assert set(again) == once and len(again) == len(once) == 20 * 10
+
+
+@pytest.mark.parametrize("m", [3, 5, 7])
+def test_recall_does_not_depend_on_the_directions(m):
+    """Share of close pairs whose cells are visited, with as many directions as large collections have."""
+    x = clustered(6000, 11)
+    s = x @ x.T
+    np.fill_diagonal(s, -1)
+    q, c = np.nonzero(s[:400] >= 0.85)
+    table = knn.Cells(20, 64, m, 1.5)
+    home = table.home(x)[0]
+    rows, cells = table.probes(x[:400], 0.45, 0.97)
+    visited = set(zip(rows.tolist(), cells.tolist()))
+    assert np.mean([(i, home[j]) in visited for i, j in zip(q, c)]) >= 0.95
+
+
+def test_sims_are_those_of_the_given_vectors(spark):
+    x = clustered(600, 12)
+    asked = set(range(0, 600, 10))
+    scaled = x * np.random.default_rng(1).uniform(0.1, 9, (len(x), 1)).astype(np.float32)
+    y = scaled.astype(float) / np.linalg.norm(scaled.astype(float), axis=1)[:, None]
+    for r in knn.most_similar(frame(spark, scaled, asked), k=10, distance=1.0, success=0.98, scan=True).collect():
+        assert abs(r.sim - y[r.key] @ y[r.near]) < 1e-12
+    limit = float(np.sort((y @ y.T)[np.triu_indices(600, 1)])[-800]) - 1e-12  # a pair lies right at the threshold
+    got = {(r.key, r.near) for r in knn.most_similar(frame(spark, scaled), k=600, min_sim=limit, scan=True).collect()}
+    assert got == {(i, j) for i in range(600) for j in range(600) if i != j and y[i] @ y[j] >= limit}
+
+
+def test_rows_and_queries_of_a_hot_cell_are_split(spark):
+    """With the least cells everything is split on the grid, and every query still meets every row."""
+    x = clustered(1200, 13)
+    got = {(r.key, r.near) for r in knn.most_similar(frame(spark, x), k=10, min_sim=0.8, cell_rows=20, distance=0.6, success=0.999, scan=True).collect()}
+    want = exact(x, 10, 0.8)
+    assert len(got & want) >= 0.99 * len(want)

@@ -179,8 +179,10 @@ def similar_pairs(df: DataFrame, **options) -> DataFrame:
     a, b = members.select(F.col("id").alias("p"), F.col("cls").alias("lo")), members.select(F.col("id").alias("q"), F.col("cls").alias("hi"))
     across = pairs.select("lo", "hi").join(a, "lo").join(b, "hi").select("p", "q")
     crowded = members.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    inside = members.join(crowded, "cls").select("cls", "id")
-    within = inside.alias("a").join(inside.alias("b"), (F.col("a.cls") == F.col("b.cls")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("p"), F.col("b.id").alias("q"))
+    inside = members.join(crowded, "cls").select("cls", "id", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))  # a large class meets itself in salted parts
+    left = inside.withColumn("part", F.pmod(F.hash("id"), "parts"))
+    right = inside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    within = left.alias("a").join(right.alias("b"), (F.col("a.cls") == F.col("b.cls")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("p"), F.col("b.id").alias("q"))
     both = across.where("p <> q").unionByName(within)
     return both.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b")).distinct()
 

@@ -3,21 +3,23 @@
 Lengths are whole tokens up to the capacity, so their histogram has at most `capacity` rows whatever
 the number of documents. Best fit decreasing is planned over those counts: a plan row says that a run
 of containers holds certain lengths. Documents then take the planned slots by their rank within
-their length. Ranks are counted in salted parts, so a length that holds a third of all documents is
-no single task.
+their length. Ranks are counted in salted parts, as many as a length asks for, so one that holds a
+third of all documents is no single task.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratakb.session import cut
-
 CAPACITY = 2048
-PARTS = 64
+#: Items of one length that one task ranks.
+PART_ROWS = 250_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, dict[int, int]]]:
@@ -60,34 +62,44 @@ def pieces(sizes: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
     return steps.select(key, (F.col("k") * capacity).cast("int").alias("start"), F.least(F.lit(capacity), F.col("size") - F.col("k") * capacity).cast("int").alias("length"))
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, parts: int = PARTS) -> DataFrame:
+def pack(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """(container_id, key, start, end): each piece of each item with its token range.
 
     sizes has the unique key and size, the tokens of the item; rows with a null size or a size under 1
     are in no container; only an item longer than the capacity is cut. An empty table gives no rows.
+    A length of many items is ranked in parts of about part_rows.
     """
     spark = sizes.sparkSession
-    items = pieces(sizes.select(key, F.col("size").cast("int")), key, capacity).withColumn("part", F.pmod(F.xxhash64(key, "start"), F.lit(parts)).cast("int"))
-    counts = cut(items.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.broadcast(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))  # capacity * parts rows at most
-    slots, used = [], Counter()
+    items = pieces(sizes.select(key, F.col("size").cast("int")), key, capacity)
+    total = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
+    used: Counter = Counter()
+    runs: list[tuple[int, int, int, int]] = []  # length, rank from which, first container, items of that length in each
     for first, times, filling in plan(total, capacity):
         for length, each in filling.items():
-            slots.append((length, used[length], used[length] + times * each, first, each))
+            runs.append((length, used[length], first, each))
             used[length] += times * each
-    runs: dict[int, list] = {}
-    for length, lo, hi, first, each in slots:
-        runs.setdefault(length, []).append((lo, hi, first, each))
     if not runs:
         return items.select(F.lit(0).cast("long").alias("container_id"), key, "start", F.col("start").alias("end")).limit(0)
-    table = F.broadcast(spark.createDataFrame([(n, [tuple(x) for x in r]) for n, r in runs.items()], "length int, runs array<struct<lo:long,hi:long,first:long,each:long>>"))  # capacity rows
-    ranked = items.join(offset, ["length", "part"]).withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy(key, "start")) - 1 + F.col("offset"))
-    run = F.filter("runs", lambda r: (F.col("rank") >= r["lo"]) & (F.col("rank") < r["hi"]))[0]
-    placed = ranked.join(table, "length").withColumn("run", run)
-    container = F.col("run.first") + F.floor((F.col("rank") - F.col("run.lo")) / F.col("run.each"))
-    return placed.select(container.cast("long").alias("container_id"), key, "start", (F.col("start") + F.col("length")).alias("end"))
+    parts = F.broadcast(spark.createDataFrame([(n, -(-c // part_rows)) for n, c in total.items()], "length int, parts int"))  # at most capacity rows
+    salted = items.join(parts, "length").withColumn("part", F.pmod(F.xxhash64(key, "start"), "parts").cast("int"))
+    counts = salted.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy(key, "start")) - 1
+    ranked = salted.withColumn("rank", rank).join(offset, ["length", "part"]).select(key, "start", "length", (F.col("rank") + F.col("offset")).alias("rank"))
+    runs.sort()
+    length, rank_from, first, each = (np.array(x, np.int64) for x in zip(*runs))
+    code = (length << 44) + rank_from
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, start, at = (np.asarray(batch.column(c)).astype(np.int64) for c in ("length", "start", "rank"))
+            run = np.searchsorted(code, (n << 44) + at, "right") - 1
+            container = first[run] + (at - rank_from[run]) // each[run]
+            yield pa.record_batch([pa.array(container), batch.column(key), batch.column("start"), pa.array((start + n).astype(np.int32))], names=["container_id", key, "start", "end"])
+
+    kind = sizes.schema[key].dataType.simpleString()
+    return ranked.mapInArrow(place, f"container_id long, {key} {kind}, start int, end int")
 
 
 def containers(packed: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -111,3 +111,11 @@ def test_empty(spark):
 def test_long_text():
     s = neardup.shingles("word " * 200_000, 5, 5)
     assert isinstance(s, np.ndarray) and len(s) == 1
+
+
+def test_a_large_class_meets_itself_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 4)
+    text = " ".join(f"word{i}" for i in range(60))
+    df = spark.createDataFrame([(f"k{i:02d}", text) for i in range(15)], "id string, text string")
+    got = {(r.id_a, r.id_b) for r in neardup.similar_pairs(df, threshold=0.6, size=3, least=40).collect()}
+    assert got == {(f"k{i:02d}", f"k{j:02d}") for i in range(15) for j in range(i + 1, 15)}

@@ -95,7 +95,7 @@ def test_packing(spark):
     rng = random.Random(3)
     sizes = [(i, rng.choice([7, 7, 7, 30, 64, rng.randrange(1, 64), 200])) for i in range(700)] + [(900, 0), (901, None)]
     df = spark.createDataFrame(sizes, "doc_id long, size int")
-    rows = packing.pack(df, capacity=64, parts=4).collect()
+    rows = packing.pack(df, capacity=64, part_rows=20).collect()
     used, ranges = {}, {}
     for r in rows:
         used[r.container_id] = used.get(r.container_id, 0) + r.end - r.start
@@ -110,6 +110,6 @@ def test_packing(spark):
         assert len(got) == 1 or n > 64
     total = sum(n or 0 for _, n in sizes)
     assert len(used) <= -(-total // 64) * 1.02 + 1
-    boxes = packing.containers(packing.pack(df, capacity=64, parts=4)).collect()
+    boxes = packing.containers(packing.pack(df, capacity=64, part_rows=20)).collect()
     assert {b.container_id: b.used for b in boxes} == used
     assert packing.pack(df.limit(0)).count() == 0

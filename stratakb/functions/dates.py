@@ -14,6 +14,10 @@ FORMATS = (
 )
 
 
+#: Fixed value: days for which a source counts as fresh.
+FRESH = 90
+
+
 def lenient_date(text: Column) -> Column:
     """DATE of a text in one of FORMATS, time of day ignored; null for anything else."""
     t = F.trim(text)
@@ -46,12 +50,12 @@ def trust_tier(kind: Column, age: Column) -> Column:
 
 
 def source_priority(kind: Column, age: Column) -> Column:
-    """P0 to P3 by type and age; an unknown age counts as 999 days."""
+    """P0 to P3 by type and age: official P0 while fresh, then P1; uploads P1; community P2 while fresh, then P3; all else P3. An unknown age counts as 999 days."""
     days = F.coalesce(age, F.lit(999))
     return (
-        F.when((kind == "official-doc") & (days <= 180), "P0")
+        F.when((kind == "official-doc") & (days <= FRESH), "P0")
         .when(kind.isin("official-doc", "user-upload"), "P1")
-        .when((kind == "community") & (days <= 180), "P2")
+        .when((kind == "community") & (days <= FRESH), "P2")
         .otherwise("P3")
     )
 

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Scenario patterns in order of precedence, and question dimensions.
+# Scenario patterns, the first that fits counts; question dimensions, all that fit count.
 SCENARIOS = (
-    ("troubleshooting", r"error|fail|报错|失败|异常|无法|crash|debug|排查"),
-    ("comparison", r"\bvs\b|versus|compare|difference|区别|对比|比较"),
-    ("setup", r"install|setup|configure|deploy|安装|配置|部署"),
-    ("howto", r"how to|how do|how should|如何|怎么|怎样|步骤"),
-    ("concept", r"what is|what does|why|什么是|为什么|原理|概念"),
-    ("selection", r"which|best|recommend|选择|推荐|哪个"),
-)
-DIMENSIONS = (
-    ("definition", r"what is|what does|什么是|定义"),
-    ("procedure", r"how (to|do|does|can|should)|如何|怎么"),
-    ("cause", r"\bwhy\b|为什么|原因"),
-    ("time", r"\bwhen\b|何时|什么时候|多久"),
-    ("comparison", r"\bvs\b|versus|difference|compare|区别|对比"),
-    ("quantity", r"how (many|much|long|often)|多少|几个"),
+    ("troubleshoot", r"(报错|失败|错误|异常|为什么.*不|why.*fail|debug)"),
+    ("update", r"(最近|最新|更新|版本|changelog|latest update)"),
+    ("compare", r"( vs |对比|区别|差异|谁更|哪个好|compare)"),
+    ("howto", r"(怎么|如何|使用方法|部署|安装|how to|install|setup)"),
+    ("config", r"(配置|参数|选项|configure|setting)"),
+    ("definition", r"(是什么|做什么|用途|用来|简介|介绍|概念|特性|what is)"),
 )
+DIMENSIONS = {
+    "direct": ("是什么", "什么是", "定义", "概念", "介绍", "概述", "摘要", "内容", "what is", "definition"),
+    "action": ("如何", "怎么", "怎样", "操作", "配置", "安装", "使用", "创建", "部署", "how to", "how do", "steps", "guide"),
+    "comparison": ("区别", "对比", "比较", "差异", "不同", "vs", "versus", "difference", "compare", "和.*区别"),
+    "fault": ("风险", "问题", "错误", "故障", "异常", "限制", "不适合", "注意", "坑", "踩坑", "risk", "error", "issue", "limitation", "caveat"),
+    "alias": ("别名", "又叫", "又称", "同义词", "同一个", "一样吗", "是指", "aka", "alias", "same as"),
+    "version": ("版本", "edition", "版", "最新", "旧版", "新版", "升级", "v[0-9]", "version", "release", "changelog"),
+}
 
 
 def normal_body(body: Column) -> Column:
@@ -139,10 +139,16 @@ def scenario(question: Column) -> Column:
 def question_dimensions(question: Column) -> Column:
     """All dimensions that a question asks about, ['direct'] without any."""
     q = F.lower(F.coalesce(question, F.lit("")))
-    found = F.array_compact(F.array(*[F.when(q.rlike(rx), F.lit(name)) for name, rx in DIMENSIONS]))
+    found = F.array_compact(F.array(*[F.when(q.rlike("|".join(words)), F.lit(name)) for name, words in DIMENSIONS.items()]))
     return F.when(F.size(found) == 0, F.array(F.lit("direct"))).otherwise(found)
 
 
+def missing_dimensions(questions: Column) -> Column:
+    """The dimensions that none of a list of questions asks about: all of them for a null or empty list."""
+    covered = F.flatten(F.transform(F.coalesce(questions, F.array().cast("array<string>")), question_dimensions))
+    return F.array_except(F.array(*map(F.lit, DIMENSIONS)), covered)
+
+
 def topic_of(doc: Column) -> Column:
     """A document id without its date and hash."""
     return F.regexp_replace(doc, r"-\d{4}-\d{2}-\d{2}(-[0-9a-f]{8})?$", "")
@@ -188,3 +194,68 @@ def frontmatter_of(fields: dict[str, Column]) -> Column:
 def normal_text(text: Column) -> Column:
     """Without byte-order mark, line ends as LF."""
     return F.regexp_replace(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), r"^\x{feff}", "")
+
+
+def file_slug(name: Column) -> Column:
+    """A file name as a slug: lower case, all but Latin letters, digits and CJK as one dash; 'untitled' when nothing is left."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", "")), r"[^a-z0-9\x{4e00}-\x{9fff}]+", "-"), r"^-+|-+$", "")
+    return F.when(F.coalesce(F.length(slug), F.lit(0)) == 0, "untitled").otherwise(slug)
+
+
+def title_of(text: Column, lines: int = 50, most: int = 200) -> Column:
+    """The first level-one heading among the first lines, else the first line that isn't blank; null for a blank text."""
+    top = F.slice(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), 1, lines)
+    heads = F.transform(F.filter(top, lambda x: x.rlike(r"^#[ \t]+\S")), lambda x: F.trim(F.regexp_replace(x, r"^#[ \t]+", "")))
+    filled = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.substring(F.coalesce(F.get(heads, F.lit(0)), F.trim(F.get(filled, F.lit(0)))), 1, most)
+
+
+def rfc_number(url: Column) -> Column:
+    """The number of the RFC that a URL names; null where it names none."""
+    return F.nullif(F.regexp_extract(url, r"(?i)rfc[-_]?(\d+)", 1), F.lit("")).cast("long")
+
+
+def gitlab_raw(url: Column) -> Column:
+    """Address of the raw text of a file on GitLab; null for other URLs."""
+    rx = r"^(https?://[^/]*gitlab[^/]*/.+?)/-/blob/(.+)$"
+    return F.when(url.rlike(rx), F.regexp_replace(url, rx, "$1/-/raw/$2"))
+
+
+def meta_contents(html: Column, name: str) -> Column:
+    """The contents of all <meta> tags of a name or property, in order of appearance."""
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)(<meta\b[^>]*\b(?:name|property)=[\"']?{name}[\"'\s>][^>]*>)"), F.lit(1))
+    return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r"(?is)\bcontent=[\"']([^\"']*)[\"']", 1)), lambda x: x != "")
+
+
+def image_links(markdown: Column, folder: str) -> Column:
+    """Markdown whose relative image links point into a folder; absolute ones stay."""
+    return F.regexp_replace(markdown, r"!\[([^\]]*)\]\((?!https?://|/|data:)(?:\./)?([^)\s]+)\)", f"![$1]({folder}/$2)")
+
+
+def strict_list(text: Column) -> Column:
+    """Entries of a JSON list of strings; anything else but null is an error."""
+    parsed = F.from_json(text, "array<string>")
+    return F.when(text.isNull() | parsed.isNotNull(), parsed).otherwise(F.raise_error(F.concat(F.lit("not a JSON list: "), text)).cast("array<string>"))
+
+
+def sparse_vector(terms: Column) -> Column:
+    """map<string, double> of a list of structs (token, weight): one entry a token, its greatest weight; weights of 0 and null tokens are left out."""
+    kept = F.filter(terms, lambda t: t["token"].isNotNull() & (F.coalesce(t["weight"], F.lit(0.0)) != 0))
+    best = F.filter(kept, lambda t, i: ~F.exists(kept, lambda u: (u["token"] == t["token"]) & (u["weight"] > t["weight"])) & ~F.exists(F.slice(kept, 1, i), lambda u: (u["token"] == t["token"]) & (u["weight"] == t["weight"])))
+    return F.map_from_entries(F.transform(best, lambda t: F.struct(t["token"].alias("key"), t["weight"].cast("double").alias("value"))))
+
+
+def evidence_score(score: Column) -> Column:
+    """A score within 0 and 100; 0 for none."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(score.cast("double"), F.lit(0.0))))
+
+
+def evidence_hash(declared: Column, markdown: Column) -> Column:
+    """The declared hash of a tool's result, else that of its text; null for neither."""
+    return F.coalesce(F.nullif(F.trim(declared), F.lit("")), F.when(F.length(F.trim(markdown)) > 0, F.sha2(markdown, 256)))
+
+
+def needs_enrichment(summary: Column, keywords: Column, questions: Column) -> Column:
+    """Whether a chunk still lacks its summary, keywords or questions."""
+    empty = lambda c: F.coalesce(F.size(clean_list(c)), F.lit(0)) == 0
+    return (F.coalesce(F.trim(summary), F.lit("")) == "") | empty(keywords) | empty(questions)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakb.functions import dates as D
 from stratakb.functions import text as T
 from stratakb.operators import chunking, governance
 from stratakb.session import table
@@ -23,8 +24,8 @@ KIND = """case when regexp_replace(lower(trim(source_type)), '[\\s_]+', '-', 'g'
   then regexp_replace(lower(trim(source_type)), '[\\s_]+', '-', 'g') end"""
 DOCS = f"""docs as (
   select *, case when age is not null and kind = 'official-doc' and age <= 90 then 1 when age is not null and kind in ('official-doc', 'extracted') and age <= 180 then 2 else 3 end as tier,
-    case when kind = 'official-doc' and coalesce(age, 999) <= 180 then 'P0' when kind in ('official-doc', 'user-upload') then 'P1'
-         when kind = 'community' and coalesce(age, 999) <= 180 then 'P2' else 'P3' end as priority
+    case when kind = 'official-doc' and coalesce(age, 999) <= 90 then 'P0' when kind in ('official-doc', 'user-upload') then 'P1'
+         when kind = 'community' and coalesce(age, 999) <= 90 then 'P2' else 'P3' end as priority
   from (select *, case when fetched is not null then greatest(date_diff('day', fetched, date '{AS_OF}'), 0) end as age
         from (select doc_id, title, source, url, {KIND} as kind, coalesce({DATE}, {ID_DATE}) as fetched
               from (select *, row_number() over (partition by doc_id order by stored_at desc) as rn from raw_docs where doc_id is not null) where rn = 1)))"""
@@ -70,10 +71,24 @@ def stale_buckets(spark: SparkSession, at: str) -> DataFrame:
     return docs(spark, at).groupBy(F.coalesce("source", F.lit("")).alias("source"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("documents"), F.max("age").cast("long").alias("oldest"))
 
 
+def chunk_priorities(spark: SparkSession, at: str) -> DataFrame:
+    """(doc_id, chunk_id, kind, priority) of every chunk, by its own type and date."""
+    once = chunks_once(spark, at, "doc_id", "source_type", "fetched_at").where("doc_id is not null")
+    fetched = F.coalesce(D.lenient_date(F.col("fetched_at")), D.date_in_id(F.col("doc_id")))
+    kind = F.coalesce(D.source_type(F.col("source_type")), F.lit("unknown"))
+    return once.select("doc_id", "chunk_id", kind.alias("kind"), D.source_priority(kind, D.age_days(fetched, AS_OF)).alias("priority"))
+
+
 def priority_conflicts(spark: SparkSession, at: str) -> DataFrame:
-    """Pages whose documents disagree in type or priority."""
-    pages = docs(spark, at).withColumn("page", T.url_key(F.col("url"))).where("page is not null")
-    return governance.conflicts(pages, "page")
+    """Documents whose chunks disagree in type or priority, with the chunks below the best priority."""
+    return governance.conflicts(chunk_priorities(spark, at), "doc_id").withColumnRenamed("documents", "chunks")
+
+
+def priority_backfill(spark: SparkSession, at: str) -> DataFrame:
+    """What a backfill of the documents' priorities would do: kept where the stored one is right, else updated or added."""
+    stored = governance.latest(table(spark, at, "raw_docs").select("doc_id", "source_priority", "stored_at"), "doc_id", "stored_at").select("doc_id", F.nullif(F.trim("source_priority"), F.lit("")).alias("stored"))
+    both = docs(spark, at).select("doc_id", "priority").join(stored, "doc_id")
+    return both.groupBy(F.when(F.col("stored").isNull(), "added").when(F.col("stored") == F.col("priority"), "skipped").otherwise("updated").alias("action"), "priority").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def conflict_arbitration(spark: SparkSession, at: str) -> DataFrame:
@@ -213,7 +228,7 @@ def chunk_size_class(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "documents").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (doc_catalogue, kb_stats, trust_tier_dist, stale_buckets, priority_conflicts, conflict_arbitration, frontmatter_text, hash_groups, hash_backfill_class, hash_mismatches, hash_lookup_semi, hash_new_anti, url_variants, url_host_stats, url_slug_docs, url_extract, headings, vector_ingest_rows, delete_by_doc, replace_docs, removal_impact, keyword_counts, site_freshness, chunk_documents, chunk_stats, chunk_size_class)}
+QUERIES = {f.__name__: f for f in (doc_catalogue, kb_stats, trust_tier_dist, stale_buckets, priority_conflicts, priority_backfill, conflict_arbitration, frontmatter_text, hash_groups, hash_backfill_class, hash_mismatches, hash_lookup_semi, hash_new_anti, url_variants, url_host_stats, url_slug_docs, url_extract, headings, vector_ingest_rows, delete_by_doc, replace_docs, removal_impact, keyword_counts, site_freshness, chunk_documents, chunk_stats, chunk_size_class)}
 
 ORACLE = {
     "doc_catalogue": """with d as (select doc_id, max(title) as raw_title from raw_docs where doc_id is not null group by 1),
@@ -224,9 +239,13 @@ ORACLE = {
     "kb_stats": f"with {DOCS} select coalesce(kind, 'unknown') as kind, count(*) as documents, min(fetched) as first_date, max(fetched) as last_date, count(*) filter (fetched is null) as undated from docs group by 1",
     "trust_tier_dist": f"with {DOCS} select tier::bigint as tier, priority, count(*) as documents from docs group by 1, 2",
     "stale_buckets": f"with {DOCS} select coalesce(source, '') as source, case when age is null then 'unknown' when age > 90 then 'stale' else 'fresh' end as bucket, count(*) as documents, max(age)::bigint as oldest from docs group by 1, 2",
-    "priority_conflicts": f"""with {DOCS}, p as (select {URL_KEY} as page, kind, priority, substr(priority, 2)::int as number from docs),
-      m as (select *, number > min(number) over (partition by page) as low from p where page is not null)
-      select page, count(*) as documents, count(distinct kind) as types, count(distinct priority) as priorities, sum(low::int)::bigint as lower from m group by 1 having count(distinct kind) > 1 or count(distinct priority) > 1""",
+    "priority_conflicts": f"""with {CHUNKS}, k as (select doc_id, chunk_id, coalesce({KIND}, 'unknown') as kind, coalesce({DATE}, {ID_DATE}) as fetched from once where doc_id is not null),
+      p as (select *, case when kind = 'official-doc' then case when fetched >= date '{AS_OF}' - 90 then 0 else 1 end when kind = 'user-upload' then 1
+        when kind = 'community' and fetched >= date '{AS_OF}' - 90 then 2 else 3 end as number from k),
+      m as (select *, number > min(number) over (partition by doc_id) as low from p)
+      select doc_id, count(*) as chunks, count(distinct kind) as types, count(distinct number) as priorities, sum(low::int)::bigint as lower from m group by 1 having count(distinct kind) > 1 or count(distinct number) > 1""",
+    "priority_backfill": f"""with {DOCS}, s as (select doc_id, nullif(trim(source_priority), '') as stored from (select *, row_number() over (partition by doc_id order by stored_at desc) as rn from raw_docs where doc_id is not null) where rn = 1)
+      select case when stored is null then 'added' when stored = priority then 'skipped' else 'updated' end as action, priority, count(*) as documents from docs join s using (doc_id) group by 1, 2""",
     "conflict_arbitration": f"""with {DOCS}, p as (select {URL_KEY} as page, doc_id, priority, fetched from docs),
       r as (select *, row_number() over (partition by page order by priority, fetched desc nulls last, doc_id) as rank, count(*) over (partition by page, priority, fetched) > 1 as tied from p where page is not null)
       select page, doc_id, priority, fetched, tied from r where rank = 1""",

@@ -20,9 +20,15 @@ SUMMARY = """count(*) as queries, round(avg(coalesce((rank <= 1)::int, 0)), 4) a
   round(avg(coalesce((rank <= 5)::int, 0)), 4) as recall_5, round(avg(coalesce((rank <= 10)::int, 0)), 4) as recall_10, round(avg(coalesce(1.0::double / rank, 0)), 4) as mrr"""
 
 
-def _case(rules: tuple, column: str, other: str) -> str:
-    """SQL CASE over the same patterns as the Column expression."""
-    return "case " + " ".join(f"when regexp_matches(lower(coalesce({column}, '')), '{rx}') then '{name}'" for name, rx in rules) + f" else '{other}' end"
+#: The scenario and the dimensions of a question, written down for the oracle on their own.
+SCENARIO = """case when regexp_matches({q}, '报错|失败|错误|异常|为什么.*不|why.*fail|debug') then 'troubleshoot' when regexp_matches({q}, '最近|最新|更新|版本|changelog|latest update') then 'update'
+  when regexp_matches({q}, ' vs |对比|区别|差异|谁更|哪个好|compare') then 'compare' when regexp_matches({q}, '怎么|如何|使用方法|部署|安装|how to|install|setup') then 'howto'
+  when regexp_matches({q}, '配置|参数|选项|configure|setting') then 'config' when regexp_matches({q}, '是什么|做什么|用途|用来|简介|介绍|概念|特性|what is') then 'definition' else 'general' end"""
+DIMENSION_LIST = """list_filter([case when regexp_matches({q}, '是什么|什么是|定义|概念|介绍|概述|摘要|内容|what is|definition') then 'direct' end,
+  case when regexp_matches({q}, '如何|怎么|怎样|操作|配置|安装|使用|创建|部署|how to|how do|steps|guide') then 'action' end, case when regexp_matches({q}, '区别|对比|比较|差异|不同|vs|versus|difference|compare') then 'comparison' end,
+  case when regexp_matches({q}, '风险|问题|错误|故障|异常|限制|不适合|注意|坑|risk|error|issue|limitation|caveat') then 'fault' end, case when regexp_matches({q}, '别名|又叫|又称|同义词|同一个|一样吗|是指|aka|alias|same as') then 'alias' end,
+  case when regexp_matches({q}, '版|edition|最新|升级|v[0-9]|version|release|changelog') then 'version' end], lambda x: x is not null)"""
+_DIM = "unnest(case when len({d}) = 0 then ['direct'] else {d} end)"
 
 
 def answers_once(spark: SparkSession, at: str) -> DataFrame:
@@ -56,13 +62,6 @@ def recall_by_group(spark: SparkSession, at: str) -> DataFrame:
     return evaluation.grouped_summary(answer_ranks(spark, at).join(asked, "answer_id", "left"), "kind", "scenario")
 
 
-def path_contribution(spark: SparkSession, at: str) -> DataFrame:
-    """How many hits each kind of cache outcome contributes, and its share of all hits."""
-    asked = answers_once(spark, at).select("answer_id", F.coalesce("crystallized_status", F.lit("unknown")).alias("path"))
-    hits = answer_ranks(spark, at).join(asked, "answer_id").groupBy("path").agg(F.count(F.lit(1)).alias("queries"), F.count("rank").alias("hits"))
-    return hits.withColumn("share", F.round(F.col("hits") / F.greatest(F.sum("hits").over(Window.partitionBy()), F.lit(1)), 4))
-
-
 def eval_diff(spark: SparkSession, at: str) -> DataFrame:
     """Metrics of answers with at least two pieces of evidence against those of the others."""
     ranks = answer_ranks(spark, at).join(answers_once(spark, at).select("answer_id", "evidence_count"), "answer_id")
@@ -93,6 +92,13 @@ def coverage_summary(spark: SparkSession, at: str) -> DataFrame:
     return covered.groupBy("dimension").agg(F.count(F.lit(1)).alias("chunks")).select("dimension", "chunks", F.round(F.col("chunks") * 100.0 / F.lit(float(total)), 1).alias("percent"))
 
 
+def missing_dimensions(spark: SparkSession, at: str) -> DataFrame:
+    """Per chunk, the dimensions that none of its questions asks about, in their fixed order."""
+    once = chunks_once(spark, at, "questions")
+    missing = T.missing_dimensions(T.clean_list(F.col("questions")))
+    return once.select("chunk_id", F.size(missing).cast("long").alias("count"), F.array_join(missing, ",").alias("missing"))
+
+
 def feedback_to_queries(spark: SparkSession, at: str) -> DataFrame:
     """Evaluation queries from feedback of rating 4 or 5 and type positive or partial, once per feedback."""
     once = table(spark, at, "feedback").distinct()
@@ -157,23 +163,21 @@ def time_windows(spark: SparkSession, at: str) -> DataFrame:
     return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("span"), F.coalesce(F.col(n), F.lit(0)).alias("answers")) for n in windows])).alias("w")).select("w.span", "w.answers")
 
 
-QUERIES = {f.__name__: f for f in (recall_overall, recall_by_group, path_contribution, eval_diff, scenario_classify, question_dimensions, coverage_summary, feedback_to_queries, feedback_consistency, session_last12, session_stats, answer_trust, answer_coverage, time_windows)}
-
-_DIMS = "list_filter([" + ", ".join(f"case when regexp_matches(lower({{q}}), '{rx}') then '{name}' end" for name, rx in T.DIMENSIONS) + "], lambda x: x is not null)"
-_DIM = "unnest(case when len({d}) = 0 then ['direct'] else {d} end)"
+QUERIES = {f.__name__: f for f in (recall_overall, recall_by_group, eval_diff, scenario_classify, question_dimensions, coverage_summary, missing_dimensions, feedback_to_queries, feedback_consistency, session_last12, session_stats, answer_trust, answer_coverage, time_windows)}
 
 ORACLE = {
     "recall_overall": f"with {RANKS} select {SUMMARY} from k",
-    "recall_by_group": f"""with {RANKS}, g as (select k.rank, case when k.answer_id is not null then coalesce(nullif(trim({KIND.replace('source_type', 'a.source_type')}), ''), 'unknown') end as kind, case when a.answer_id is null then 'unknown' else {_case(T.SCENARIOS, 'a.question', 'general')} end as scenario from k left join a using (answer_id))
+    "recall_by_group": f"""with {RANKS}, g as (select k.rank, case when k.answer_id is not null then coalesce(nullif(trim({KIND.replace('source_type', 'a.source_type')}), ''), 'unknown') end as kind, case when a.answer_id is null then 'unknown' else {SCENARIO.format(q='lower(a.question)')} end as scenario from k left join a using (answer_id))
       select kind, scenario, {SUMMARY} from g group by grouping sets ((), (kind), (scenario))""",
-    "path_contribution": f"""with {RANKS}, h as (select coalesce(crystallized_status, 'unknown') as path, count(*) as queries, count(rank) as hits from k join a using (answer_id) group by 1)
-      select path, queries, hits, round(hits::double / greatest(sum(hits) over (), 1), 4) as share from h""",
     "eval_diff": f"""with {RANKS}, m as (select k.rank, evidence_count from k join a using (answer_id)), l as (select {SUMMARY} from m where evidence_count < 2), h as (select {SUMMARY} from m where evidence_count >= 2)
       """ + " union all ".join(f"select '{n}' as metric, l.{n} as \"left\", h.{n} as \"right\", round(h.{n} - l.{n}, 4) as delta from l, h" for n in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")),
-    "scenario_classify": f"with {ANSWERS} select {_case(T.SCENARIOS, 'question', 'general')} as scenario, count(*) as questions from a group by 1",
-    "question_dimensions": f"with {ANSWERS}, d as (select answer_id, {_DIMS.format(q='coalesce(question, ' + chr(39) * 2 + ')')} as dims from a), u as (select {_DIM.format(d='dims')} as dimension from d) select dimension, count(*) as questions from u group by 1",
-    "coverage_summary": f"""with {CHUNKS}, q as (select chunk_id, trim(unnest(questions)) as q from once), d as (select chunk_id, {_DIMS.format(q='q')} as dims from q where q <> ''), u as (select distinct chunk_id, {_DIM.format(d='dims')} as dimension from d)
+    "scenario_classify": f"with {ANSWERS} select {SCENARIO.format(q='lower(question)')} as scenario, count(*) as questions from a group by 1",
+    "question_dimensions": f"with {ANSWERS}, d as (select answer_id, {DIMENSION_LIST.format(q='lower(coalesce(question, ' + chr(39) * 2 + '))')} as dims from a), u as (select {_DIM.format(d='dims')} as dimension from d) select dimension, count(*) as questions from u group by 1",
+    "coverage_summary": f"""with {CHUNKS}, q as (select chunk_id, trim(unnest(questions)) as q from once), d as (select chunk_id, {DIMENSION_LIST.format(q='lower(q)')} as dims from q where q <> ''), u as (select distinct chunk_id, {_DIM.format(d='dims')} as dimension from d)
       select dimension, count(*) as chunks, round(100.0::double * count(*) / (select count(*) from once), 1) as percent from u group by 1""",
+    "missing_dimensions": f"""with {CHUNKS}, q as (select chunk_id, trim(unnest(questions)) as q from once), d as (select chunk_id, {DIMENSION_LIST.format(q='lower(q)')} as dims from q where q <> ''), u as (select distinct chunk_id, {_DIM.format(d='dims')} as dimension from d),
+      x as (select chunk_id, dim, i from once, (select unnest(['direct', 'action', 'comparison', 'fault', 'alias', 'version']) as dim, unnest([1, 2, 3, 4, 5, 6]) as i)), m as (select x.chunk_id, dim, i from x left join u on x.chunk_id = u.chunk_id and dim = dimension where dimension is null)
+      select o.chunk_id, count(dim) as count, coalesce(string_agg(dim, ',' order by i), '') as missing from once o left join m using (chunk_id) group by 1""",
     "feedback_to_queries": f"""with {ANSWERS}, f as (select distinct * from feedback) select 'real-' || lpad(feedback_id::varchar, 9, '0') as id, question,
       coalesce(len(list_filter(from_json(case when json_valid(returned_doc_ids) then returned_doc_ids end, '["VARCHAR"]'), lambda x: trim(x) <> '')), 0) as expected
       from f join a using (answer_id) where user_rating between 4 and 5 and lower(trim(feedback_type)) in ('positive', 'partial') and length(trim(question)) > 0""",

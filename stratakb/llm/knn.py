@@ -25,6 +25,8 @@ from stratakb.session import cut
 
 #: Components are rounded to 1/32767, so a cosine of 64 of them is off by less than this.
 EPS = 2.5e-4
+#: Ids (8 bytes each) that may be broadcast; more are joined by a shuffle.
+BROADCAST = 2_000_000
 NEAR = np.dtype([("c", "<i8"), ("s", "<f4")])
 
 
@@ -300,28 +302,29 @@ def _full(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatc
             yield pa.record_batch([batch.column("key").take(pa.array(at)), pa.array(v, pa.binary()), pa.array(full, pa.binary())], names=["key", "v", "full"])
 
 
-def _exact(lists: DataFrame, vectors: DataFrame, k: int, min_sim: float, dim: int) -> DataFrame:
-    """(key, near, sim) of lists (key, near, sim), ranked by the cosines of the given vectors (key, vec).
+def _exact(pairs: DataFrame, vectors: DataFrame, min_sim: float, dim: int) -> DataFrame:
+    """(key, near, sim) of those pairs (key, near, slots) that stay: the best `slots` of each key by the cosines of the given vectors (key, vec).
 
-    An id is a key or a class of equal vectors; of several vectors of one key the best pair counts.
+    An id is a key or a class of equal vectors; of several vectors of one key the best pair counts. The
+    ids are broadcast only up to BROADCAST of them, so that the vectors needn't be shuffled for a few.
     """
-    ids = lists.select(F.explode(F.array("key", "near")).alias("id")).distinct()
+    ids = cut(pairs.select(F.explode(F.array("key", "near")).alias("id")).distinct(), "ids")
     full = vectors.mapInArrow(lambda b: _full(b, dim), "key long, v binary, full binary")
-    full = full.select(F.explode(F.array_distinct(F.array("key", F.xxhash64("v")))).alias("id"), "full").join(ids, "id").distinct()
+    full = full.select(F.explode(F.array_distinct(F.array("key", F.xxhash64("v")))).alias("id"), "full")
+    full = full.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "id").distinct()
 
     def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float64).reshape(-1, dim) for c in ("x", "y"))
-            scale = 1 / np.maximum(np.abs(x).max(1, initial=0), 1e-300)[:, None], 1 / np.maximum(np.abs(y).max(1, initial=0), 1e-300)[:, None]
-            x, y = x * scale[0], y * scale[1]
+            x, y = (z / np.maximum(np.abs(z).max(1, initial=0), 1e-300)[:, None] for z in (x, y))
             sims = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            yield pa.record_batch([batch.column("key"), batch.column("near"), pa.array(sims)], names=["key", "near", "sim"])
+            yield pa.record_batch([batch.column("key"), batch.column("near"), batch.column("slots"), pa.array(sims)], names=["key", "near", "slots", "sim"])
 
     a, b = full.select(F.col("id").alias("key"), F.col("full").alias("x")), full.select(F.col("id").alias("near"), F.col("full").alias("y"))
-    pairs = lists.select("key", "near").join(a, "key").join(b, "near").select("key", "near", "x", "y")
-    sims = pairs.mapInArrow(cosines, "key long, near long, sim double").groupBy("key", "near").agg(F.max("sim").alias("sim")).where(F.col("sim") >= min_sim)
+    both = pairs.select("key", "near", "slots").join(a, "key").join(b, "near").select("key", "near", "slots", "x", "y")
+    sims = both.mapInArrow(cosines, "key long, near long, slots int, sim double").groupBy("key", "near", "slots").agg(F.max("sim").alias("sim")).where(F.col("sim") >= min_sim)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("sim"), "near"))
-    return sims.withColumn("n", rank).where(F.col("n") <= k).drop("n")
+    return sims.withColumn("n", rank).where("n <= slots").select("key", "near", "sim")
 
 
 def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 64, cell_rows: int = 150_000, distance: float = 0.45, success: float = 0.97, tables: int = 6, probes: int = 3, scan: bool = False, seed: int = 20) -> DataFrame:
@@ -389,15 +392,22 @@ def most_similar(df: DataFrame, k: int = 10, min_sim: float = -1.0, dim: int = 6
             cand, c = np.unique(near["c"], return_inverse=True)
             q, c, s = _best(q, c, near["s"], key, cand, k1)
             start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
-            rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
-            doubt = np.zeros(len(key), bool)
-            doubt[q[np.abs(s - min_sim) <= EPS]] = True
-            last = np.flatnonzero((rank == k2) & (s - min_sim > -EPS))
-            doubt[q[last[s[last - 1] - s[last] <= 2 * EPS]]] = True
-            keep = doubt[q] | ((rank < k2) & (s >= min_sim))
-            yield pa.record_batch([pa.array(key[q[keep]]), pa.array(cand[c[keep]]), pa.array(s[keep].astype(np.float64)), pa.array(doubt[q[keep]])], names=["key", "near", "sim", "doubt"])
-
-    near = cut(lists.groupBy("key").agg(F.collect_list("near").alias("lists")).mapInArrow(merge, "key long, near long, sim double, doubt boolean"), "near")
-    exact = F.col("doubt") if min_sim > -1 else F.lit(True)  # of a few queries all cosines are exact
-    near = near.where(~exact).select("key", "near", "sim").unionByName(_exact(near.where(exact), given, k2, min_sim, dim))
+            size = np.diff(np.r_[start, len(q)])
+            rank = np.arange(len(q)) - np.repeat(start, size)
+            long = size > k2
+            in_, out = np.full(len(start), -2.0), np.full(len(start), -2.0)  # cosines of the last in the list and the first behind it
+            in_[long], out[long] = s[start[long] + k2 - 1], s[start[long] + k2]
+            in_, out = np.repeat(in_, size), np.repeat(out, size)
+            # what could change places with the other side of the boundary, or of min_sim
+            doubt = np.where(rank < k2, s - out <= 2 * EPS, in_ - s <= 2 * EPS) & np.repeat(long, size) | (s - min_sim <= EPS)
+            doubt &= s - min_sim > -EPS
+            sure = ~doubt & (rank < k2) & (s >= min_sim)
+            slots = k2 - np.repeat(np.add.reduceat(sure, start, dtype=np.int32) if len(q) else np.array([], np.int32), size)
+            if not min_sim > -1:  # of a few queries all cosines are exact
+                doubt, sure, slots = np.ones(len(q), bool), np.zeros(len(q), bool), np.full(len(q), k2)
+            keep = doubt | sure
+            yield pa.record_batch([pa.array(key[q[keep]]), pa.array(cand[c[keep]]), pa.array(s[keep]), pa.array(np.where(sure, 0, slots)[keep].astype(np.int32))], names=["key", "near", "sim", "slots"])
+
+    near = cut(lists.groupBy("key").agg(F.collect_list("near").alias("lists")).mapInArrow(merge, "key long, near long, sim float, slots int"), "near")
+    near = near.where("slots = 0").select("key", "near", F.col("sim").cast("double").alias("sim")).unionByName(_exact(near.where("slots > 0"), given, min_sim, dim))
     return near if members is None else _members_best(near, members, k, min_sim)

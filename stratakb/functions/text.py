@@ -24,6 +24,11 @@ DIMENSIONS = {
 }
 
 
+# Tags and kinds of links that carry no text of a page.
+NOISE_TAGS = ("script", "style", "noscript", "iframe", "svg")
+NOISE_LINKS = ("prefetch", "preload", "dns-prefetch", "preconnect", "modulepreload")
+
+
 def normal_body(body: Column) -> Column:
     """Line ends as LF, without line feeds at either end."""
     lf = F.replace(F.replace(body, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
@@ -171,9 +176,9 @@ def tokens(text: Column) -> Column:
 
 def strip_markup(html: Column) -> Column:
     """HTML without scripts, styles, frames, drawings, prefetch links and comments."""
-    for tag in ("script", "style", "noscript", "iframe", "svg"):
+    for tag in NOISE_TAGS:
         html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
-    html = F.regexp_replace(html, r"(?is)<link\b[^>]*rel=[\"']?(?:preload|prefetch|dns-prefetch|preconnect|modulepreload)[^>]*>", "")
+    html = F.regexp_replace(html, rf"(?is)<link\b[^>]*rel=[\"']?(?:{'|'.join(NOISE_LINKS)})[^>]*>", "")
     return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
 
 

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from stratakb.functions.text import tokens
 
 
+#: Postings of one term that one task multiplies.
+TERM_ROWS = 100_000
+
+
 def usable_vectors(df: DataFrame, vec: str = "dense_vector", dim: int = 64) -> DataFrame:
     """Rows with dim finite values that are not all zero; nulls anywhere in the vector drop the row."""
     v = F.col(vec)
@@ -22,14 +26,16 @@ def usable_vectors(df: DataFrame, vec: str = "dense_vector", dim: int = 64) -> D
 def dense_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "id", vec: str = "dense_vector", block_rows: int = 50_000) -> DataFrame:
     """(query_id, id, score, rank): the k index rows with the highest inner product for every query row.
 
-    The index is split into blocks by a hash of its key and every query visits each block once, so the
-    work is rows times queries in matrix products, no task holds more than a block and the queries, and
-    only k rows of a query and block are shuffled. Ties are ordered by key. Both sides must hold usable
+    Both sides are split by hashes of their keys and meet on a grid of blocks, so the work is rows times
+    queries in matrix products, no task holds more than a block of rows and a block of queries, and only
+    k rows of a query and block are shuffled. Ties are ordered by key. Both sides must hold usable
     vectors; an empty side gives an empty result.
     """
-    blocks = max(1, -(-index.count() // block_rows))
-    left = index.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
-    right = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vec).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    blocks, asked_blocks = (max(1, -(-side.count() // block_rows)) for side in (index, queries))
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    place = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    left = index.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v"), place(blocks).alias("block")).withColumn("tile", grid(asked_blocks))
+    right = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vec).alias("v"), place(asked_blocks).alias("tile")).withColumn("block", grid(blocks))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
         rows = column.combine_chunks()
@@ -53,7 +59,7 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int, key: str = "id", ve
         q, c, s = (np.concatenate(z) for z in zip(*out))
         return pa.table({"query_id": q, "id": c, "score": s})
 
-    found = left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(search, "query_id long, id long, score double")
+    found = left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(search, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -67,14 +73,17 @@ def sparse_scores(docs: DataFrame, queries: DataFrame, key: str, text: str, quer
     """(query_key, key, score): tf * idf inner products over the terms that a query and a document share.
 
     idf is ln(1 + rows / df) with df counted over all documents. Postings are kept to query terms by a
-    semi join before the join that multiplies them.
+    semi join before the join that multiplies them; those of a frequent term meet its queries in salted
+    parts of TERM_ROWS postings, so that no word is one task.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
     wanted = asked.select("term").distinct()
     held = postings(docs, key, text).join(wanted, "term", "left_semi")
-    idf = held.groupBy("term").agg(F.log1p(F.lit(float(rows)) / F.count(F.lit(1))).alias("idf"))
-    weighted = asked.join(idf, "term")
-    scored = weighted.join(held, "term").groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("score"))
+    count = F.count(F.lit(1))
+    idf = held.groupBy("term").agg(F.log1p(F.lit(float(rows)) / count).alias("idf"), F.ceil(count / TERM_ROWS).cast("int").alias("parts"))
+    weighted = asked.join(idf, "term").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    salted = held.join(idf.select("term", "parts"), "term").withColumn("part", F.pmod(F.hash(key), "parts")).drop("parts")
+    scored = weighted.join(salted, ["term", "part"]).groupBy(query_key, key).agg(F.sum(F.col("tf") * F.col("idf") * F.col("idf")).alias("score"))
     return scored.select(query_key, key, F.round("score", 6).alias("score"))
 
 
@@ -100,6 +109,24 @@ def collapse_questions(hits: DataFrame, query: str, k: int = 60) -> DataFrame:
     return kept.groupBy(query, "chunk_id").agg(F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 6).alias("rrf_score"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"), F.min("rank").alias("best_rank"))
 
 
+def multi_query(hits: DataFrame, group: str, query: str, k: int = 60) -> DataFrame:
+    """(group, chunk_id, rrf_score, queries, kinds, shown): the hits of several queries of one search, fused by chunk.
+
+    hits has the group, the query, chunk_id, id, kind and rank; a blank chunk_id falls back to the id.
+    shown is the id to display: that of the first hit on the chunk itself, else of the first hit.
+    """
+    key = F.coalesce(F.nullif(F.col("chunk_id"), F.lit("")), F.col("id").cast("string"))
+    first = F.struct(query, "rank")
+    fused = hits.withColumn("chunk_id", key).groupBy(group, "chunk_id").agg(
+        F.round(F.sum(F.lit(1.0) / (k + F.col("rank"))), 6).alias("rrf_score"),
+        F.count_distinct(query).alias("queries"),
+        F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") != "", F.col("kind")))), ",").alias("kinds"),
+        F.min_by("id", F.when(F.col("kind") == "chunk", first)).alias("own"),
+        F.min_by("id", first).alias("any"),
+    )
+    return fused.withColumn("shown", F.coalesce("own", "any")).drop("own", "any")
+
+
 def contains_all(text: Column, keywords: list[str]) -> Column:
     """Whether a text holds every keyword, in any case; no keywords match nothing."""
     words = [w.strip().lower() for w in keywords if w.strip()]

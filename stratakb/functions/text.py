@@ -210,9 +210,9 @@ def file_slug(name: Column) -> Column:
 def title_of(text: Column, lines: int = 50, most: int = 200) -> Column:
     """The first level-one heading among the first lines, else the first line that isn't blank; null for a blank text."""
     top = F.slice(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), 1, lines)
-    heads = F.transform(F.filter(top, lambda x: x.rlike(r"^#[ \t]+\S")), lambda x: F.trim(F.regexp_replace(x, r"^#[ \t]+", "")))
-    filled = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
-    return F.substring(F.coalesce(F.get(heads, F.lit(0)), F.trim(F.get(filled, F.lit(0)))), 1, most)
+    heads = F.transform(F.filter(top, lambda x: x.rlike(r"^#[ \t]+[^ \t]")), lambda x: F.regexp_replace(x, r"^#[ \t]+|[ \t]+$", ""))
+    filled = F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: x.rlike(r"[^ \t\f]"))
+    return F.substring(F.coalesce(F.get(heads, F.lit(0)), F.regexp_replace(F.get(filled, F.lit(0)), r"^[ \t\f]+|[ \t\f]+$", "")), 1, most)
 
 
 def rfc_number(url: Column) -> Column:

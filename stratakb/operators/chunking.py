@@ -135,6 +135,27 @@ def chunk(text: str | None, least: int = LEAST, most: int = MOST, overlap: int =
     return parts
 
 
+#: Fields that chunks inherit from their document.
+INHERITED = ("source_type", "url", "fetched_at", "source", "title", "source_priority")
+
+
+def chunk_rows(raw: DataFrame, text: str = "body", least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of documents as they are stored: ids, the inherited fields (null where blank), empty summary, keywords and questions, content.
+
+    Fields that raw lacks are null; its doc_id must be unique.
+    """
+    parts = chunk_documents(raw, "doc_id", text, least, most, overlap)
+    fields = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in INHERITED]
+    none = F.array().cast("array<string>")
+    out = parts.join(raw.select("doc_id", *fields), "doc_id", "left")
+    return out.select("doc_id", "chunk_id", *INHERITED, F.lit("").alias("summary"), none.alias("keywords"), none.alias("questions"), "content")
+
+
+def write_chunks(chunks: DataFrame, folder: str) -> None:
+    """Store chunk rows, hashed by document into as many files as there are shuffle partitions: the chunks of a document lie together."""
+    chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_id").write.mode("overwrite").parquet(folder)
+
+
 def chunk_documents(df: DataFrame, key: str, text: str, least: int = LEAST, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """(key, chunk_id, seq, content): chunks of every row, numbered from 1; the id is <key>-%03d.
 

@@ -5,8 +5,8 @@ Every query reads whole tables; ages are taken on AS_OF so that results repeat.
 
 from __future__ import annotations
 
-from stratakb.queries import breadth, documents, evaluate, fusion, search
+from stratakb.queries import breadth, documents, evaluate, files, fusion, search
 
-MODULES = (documents, search, fusion, evaluate, breadth)
+MODULES = (documents, search, fusion, evaluate, breadth, files)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}

@@ -84,6 +84,12 @@ def priority_conflicts(spark: SparkSession, at: str) -> DataFrame:
     return governance.conflicts(chunk_priorities(spark, at), "doc_id").withColumnRenamed("documents", "chunks")
 
 
+def page_conflicts(spark: SparkSession, at: str) -> DataFrame:
+    """Pages whose documents disagree in type or priority."""
+    pages = docs(spark, at).withColumn("page", T.url_key(F.col("url"))).where("page is not null")
+    return governance.conflicts(pages, "page")
+
+
 def priority_backfill(spark: SparkSession, at: str) -> DataFrame:
     """What a backfill of the documents' priorities would do: kept where the stored one is right, else updated or added."""
     stored = governance.latest(table(spark, at, "raw_docs").select("doc_id", "source_priority", "stored_at"), "doc_id", "stored_at").select("doc_id", F.nullif(F.trim("source_priority"), F.lit("")).alias("stored"))
@@ -228,7 +234,7 @@ def chunk_size_class(spark: SparkSession, at: str) -> DataFrame:
     return table(spark, at, "documents").groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (doc_catalogue, kb_stats, trust_tier_dist, stale_buckets, priority_conflicts, priority_backfill, conflict_arbitration, frontmatter_text, hash_groups, hash_backfill_class, hash_mismatches, hash_lookup_semi, hash_new_anti, url_variants, url_host_stats, url_slug_docs, url_extract, headings, vector_ingest_rows, delete_by_doc, replace_docs, removal_impact, keyword_counts, site_freshness, chunk_documents, chunk_stats, chunk_size_class)}
+QUERIES = {f.__name__: f for f in (doc_catalogue, kb_stats, trust_tier_dist, stale_buckets, priority_conflicts, page_conflicts, priority_backfill, conflict_arbitration, frontmatter_text, hash_groups, hash_backfill_class, hash_mismatches, hash_lookup_semi, hash_new_anti, url_variants, url_host_stats, url_slug_docs, url_extract, headings, vector_ingest_rows, delete_by_doc, replace_docs, removal_impact, keyword_counts, site_freshness, chunk_documents, chunk_stats, chunk_size_class)}
 
 ORACLE = {
     "doc_catalogue": """with d as (select doc_id, max(title) as raw_title from raw_docs where doc_id is not null group by 1),
@@ -244,6 +250,9 @@ ORACLE = {
         when kind = 'community' and fetched >= date '{AS_OF}' - 90 then 2 else 3 end as number from k),
       m as (select *, number > min(number) over (partition by doc_id) as low from p)
       select doc_id, count(*) as chunks, count(distinct kind) as types, count(distinct number) as priorities, sum(low::int)::bigint as lower from m group by 1 having count(distinct kind) > 1 or count(distinct number) > 1""",
+    "page_conflicts": f"""with {DOCS}, p as (select {URL_KEY} as page, kind, priority, substr(priority, 2)::int as number from docs),
+      m as (select *, number > min(number) over (partition by page) as low from p where page is not null)
+      select page, count(*) as documents, count(distinct kind) as types, count(distinct priority) as priorities, sum(low::int)::bigint as lower from m group by 1 having count(distinct kind) > 1 or count(distinct priority) > 1""",
     "priority_backfill": f"""with {DOCS}, s as (select doc_id, nullif(trim(source_priority), '') as stored from (select *, row_number() over (partition by doc_id order by stored_at desc) as rn from raw_docs where doc_id is not null) where rn = 1)
       select case when stored is null then 'added' when stored = priority then 'skipped' else 'updated' end as action, priority, count(*) as documents from docs join s using (doc_id) group by 1, 2""",
     "conflict_arbitration": f"""with {DOCS}, p as (select {URL_KEY} as page, doc_id, priority, fetched from docs),

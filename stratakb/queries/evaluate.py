@@ -62,6 +62,13 @@ def recall_by_group(spark: SparkSession, at: str) -> DataFrame:
     return evaluation.grouped_summary(answer_ranks(spark, at).join(asked, "answer_id", "left"), "kind", "scenario")
 
 
+def cache_contribution(spark: SparkSession, at: str) -> DataFrame:
+    """How many hits each kind of cache outcome contributes, and its share of all hits."""
+    asked = answers_once(spark, at).select("answer_id", F.coalesce("crystallized_status", F.lit("unknown")).alias("path"))
+    hits = answer_ranks(spark, at).join(asked, "answer_id").groupBy("path").agg(F.count(F.lit(1)).alias("queries"), F.count("rank").alias("hits"))
+    return hits.withColumn("share", F.round(F.col("hits") / F.greatest(F.sum("hits").over(Window.partitionBy()), F.lit(1)), 4))
+
+
 def eval_diff(spark: SparkSession, at: str) -> DataFrame:
     """Metrics of answers with at least two pieces of evidence against those of the others."""
     ranks = answer_ranks(spark, at).join(answers_once(spark, at).select("answer_id", "evidence_count"), "answer_id")
@@ -163,12 +170,14 @@ def time_windows(spark: SparkSession, at: str) -> DataFrame:
     return counted.select(F.explode(F.array(*[F.struct(F.lit(n).alias("span"), F.coalesce(F.col(n), F.lit(0)).alias("answers")) for n in windows])).alias("w")).select("w.span", "w.answers")
 
 
-QUERIES = {f.__name__: f for f in (recall_overall, recall_by_group, eval_diff, scenario_classify, question_dimensions, coverage_summary, missing_dimensions, feedback_to_queries, feedback_consistency, session_last12, session_stats, answer_trust, answer_coverage, time_windows)}
+QUERIES = {f.__name__: f for f in (recall_overall, recall_by_group, cache_contribution, eval_diff, scenario_classify, question_dimensions, coverage_summary, missing_dimensions, feedback_to_queries, feedback_consistency, session_last12, session_stats, answer_trust, answer_coverage, time_windows)}
 
 ORACLE = {
     "recall_overall": f"with {RANKS} select {SUMMARY} from k",
     "recall_by_group": f"""with {RANKS}, g as (select k.rank, case when k.answer_id is not null then coalesce(nullif(trim({KIND.replace('source_type', 'a.source_type')}), ''), 'unknown') end as kind, case when a.answer_id is null then 'unknown' else {SCENARIO.format(q='lower(a.question)')} end as scenario from k left join a using (answer_id))
       select kind, scenario, {SUMMARY} from g group by grouping sets ((), (kind), (scenario))""",
+    "cache_contribution": f"""with {RANKS}, h as (select coalesce(crystallized_status, 'unknown') as path, count(*) as queries, count(rank) as hits from k join a using (answer_id) group by 1)
+      select path, queries, hits, round(hits::double / greatest(sum(hits) over (), 1), 4) as share from h""",
     "eval_diff": f"""with {RANKS}, m as (select k.rank, evidence_count from k join a using (answer_id)), l as (select {SUMMARY} from m where evidence_count < 2), h as (select {SUMMARY} from m where evidence_count >= 2)
       """ + " union all ".join(f"select '{n}' as metric, l.{n} as \"left\", h.{n} as \"right\", round(h.{n} - l.{n}, 4) as delta from l, h" for n in ("recall_1", "recall_3", "recall_5", "recall_10", "mrr")),
     "scenario_classify": f"with {ANSWERS} select {SCENARIO.format(q='lower(question)')} as scenario, count(*) as questions from a group by 1",

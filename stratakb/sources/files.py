@@ -75,6 +75,36 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def append_log(rows: DataFrame, folder: str) -> None:
+    """Append rows to a JSON-lines log; nulls are left out of the line."""
+    rows.write.mode("append").json(folder)
+
+
+QUESTION_INDEX = "chunk_id string, questions array<string>"
+
+
+def write_question_index(rows: DataFrame, folder: str) -> str:
+    """Store (chunk_id, questions) as JSON lines; the folder is returned."""
+    rows.where("chunk_id is not null").select("chunk_id", "questions").write.mode("overwrite").json(folder)
+    return folder
+
+
+def read_question_index(spark: SparkSession, folder: str) -> DataFrame:
+    """(chunk_id, questions) of a stored index; broken lines are skipped."""
+    return spark.read.schema(QUESTION_INDEX).option("mode", "DROPMALFORMED").json(folder)
+
+
+def upsert_questions(index: DataFrame, new: DataFrame) -> DataFrame:
+    """The index with the entries of new added or put in place of those of the same chunk."""
+    return index.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new.select("chunk_id", "questions"))
+
+
+def override_questions(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """chunks whose questions are those of the index where it has the chunk."""
+    held = index.select("chunk_id", F.col("questions").alias("_indexed"))
+    return chunks.join(held, "chunk_id", "left").withColumn("questions", F.coalesce("_indexed", "questions")).drop("_indexed")
+
+
 def backend(path: Column) -> Column:
     """The converter for a file name; null for unknown extensions."""
     extension = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))

@@ -51,3 +51,16 @@ def test_html(spark):
 def test_fence(spark):
     df = spark.createDataFrame([("a\n", "py"), ("```\nb\n```", None)], "c string, l string")
     assert [r[0] for r in df.select(files.fenced(F.col("c"), F.col("l"))).collect()] == ["```py\na\n```", "````\n```\nb\n```\n````"]
+
+
+def test_question_index_and_log(spark, tmp_path):
+    rows = spark.createDataFrame([("a", ["x", "y"]), ("b", ["z"]), (None, ["n"])], "chunk_id string, questions array<string>")
+    index = files.read_question_index(spark, files.write_question_index(rows, str(tmp_path / "index")))
+    new = spark.createDataFrame([("b", ["w"]), ("c", [])], "chunk_id string, questions array<string>")
+    merged = files.upsert_questions(index, new)
+    assert {r.chunk_id: r.questions for r in merged.collect()} == {"a": ["x", "y"], "b": ["w"], "c": []}
+    chunks = spark.createDataFrame([("a", ["old"]), ("d", None)], "chunk_id string, questions array<string>")
+    assert {r.chunk_id: r.questions for r in files.override_questions(chunks, merged).collect()} == {"a": ["x", "y"], "d": None}
+    for _ in range(2):
+        files.append_log(spark.createDataFrame([("q", None), ("r", 2)], "id string, n int"), str(tmp_path / "log"))
+    assert sorted((r.id, r.n or 0) for r in files.read_log(spark, str(tmp_path / "log"), "id string, n int").collect()) == [("q", 0), ("q", 0), ("r", 2), ("r", 2)]

@@ -67,8 +67,8 @@ def test_truncate_keeps_whole_characters(spark, n):
 
 
 def test_classifiers(spark):
-    assert values(spark, T.scenario, ["How to install it", "How do I run", "", None, "为什么报错"]) == ["setup", "howto", "general", "general", "troubleshooting"]
-    assert values(spark, T.question_dimensions, ["Why and when?", "x", None]) == [["cause", "time"], ["direct"], ["direct"]]
+    assert values(spark, T.scenario, ["How to install it", "What is a cache", "", None, "最近怎么报错", "a vs b", "最新版本", "参数"]) == ["howto", "definition", "general", "general", "troubleshoot", "compare", "update", "config"]
+    assert values(spark, T.question_dimensions, ["How to compare v2 with v1?", "x", None, "又叫什么"]) == [["action", "comparison", "version"], ["direct"], ["direct"], ["alias"]]
 
 
 def test_lists(spark):
@@ -91,10 +91,10 @@ def test_dates(spark):
 
 
 def test_tiers(spark):
-    rows = [("official-doc", 90), ("official-doc", 91), ("official-doc", 181), ("extracted", 180), ("community", 1), (None, None), ("official-doc", None)]
+    rows = [("official-doc", 90), ("official-doc", 91), ("official-doc", 181), ("extracted", 180), ("community", 1), (None, None), ("official-doc", None), ("user-upload", 400), ("community", 90), ("community", 91)]
     df = spark.createDataFrame(rows, "k string, a int")
     got = df.select(dates.trust_tier(F.col("k"), F.col("a")).alias("t"), dates.source_priority(F.col("k"), F.col("a")).alias("p")).collect()
-    assert [(r.t, r.p) for r in got] == [(1, "P0"), (2, "P0"), (3, "P1"), (2, "P3"), (3, "P2"), (3, "P3"), (3, "P1")]
+    assert [(r.t, r.p) for r in got] == [(1, "P0"), (2, "P1"), (3, "P1"), (2, "P3"), (3, "P2"), (3, "P3"), (3, "P1"), (3, "P1"), (3, "P2"), (3, "P3")]
 
 
 def test_model_output_and_frontmatter(spark):
@@ -103,3 +103,26 @@ def test_model_output_and_frontmatter(spark):
     block = df.select(T.frontmatter_of({"doc_id": F.col("i"), "title": F.col("t"), "none": F.col("n"), "empty": F.col("e")})).first()[0]
     assert block == '---\ndoc_id: d-1\ntitle: "A \\"b\\": c\\nd"\n---\n'
     assert values(spark, T.normal_text, ["﻿a\r\nb\rc", None]) == ["a\nb\nc", None]
+
+
+def test_titles_slugs_and_links(spark):
+    df = spark.createDataFrame([("a\r\n#  Head \nb", "My Notes (v2).pdf", "https://x.org/RFC_2616.html", "https://gitlab.example.com/a/b/-/blob/main/x.md", "![a](./p.png) ![b](https://h/q.png)"), (None, "...", "https://x.org/", None, None), (" \n first line", None, None, "https://h/x", "")], "t string, n string, u string, g string, m string")
+    got = [tuple(r) for r in df.select(T.title_of(F.col("t")), T.file_slug(F.col("n")), T.rfc_number(F.col("u")), T.gitlab_raw(F.col("g")), T.image_links(F.col("m"), "img")).collect()]
+    assert got == [("Head", "my-notes-v2", 2616, "https://gitlab.example.com/a/b/-/raw/main/x.md", "![a](img/p.png) ![b](https://h/q.png)"), (None, "untitled", None, None, None), ("first line", "untitled", None, None, "")]
+
+
+def test_meta_lists_and_vectors(spark):
+    page = '<meta name="author" content="A"><META content=\'B\' name="author"><meta name="other" content="C">'
+    df = spark.createDataFrame([(page, '["a", " b "]', [("x", 1.0), ("x", 2.0), ("y", 0.0), (None, 1.0), ("z", 2.0), ("z", 2.0)], 140.0, " ", "text"), (None, None, None, None, "ab", None)], "p string, j string, v array<struct<token:string, weight:double>>, s double, h string, t string")
+    r = df.select(T.meta_contents(F.col("p"), "author").alias("m"), T.strict_list(F.col("j")).alias("l"), T.sparse_vector(F.col("v")).alias("v"), T.evidence_score(F.col("s")).alias("s"), T.evidence_hash(F.col("h"), F.col("t")).alias("h")).collect()
+    assert r[0].m == ["A", "B"] and r[0].l == ["a", " b "] and r[0].v == {"x": 2.0, "z": 2.0} and r[0].s == 100.0 and len(r[0].h) == 64
+    assert r[1].m is None and r[1].l is None and r[1].v is None and r[1].s == 0.0 and r[1].h == "ab"
+    with pytest.raises(Exception, match="not a JSON list"):
+        spark.createDataFrame([("{",)], "j string").select(T.strict_list(F.col("j"))).collect()
+
+
+def test_missing_dimensions_and_enrichment(spark):
+    df = spark.createDataFrame([(["什么是缓存", "how to install"], "s", ["k"]), (None, "", None), ([], "s", ["k"])], "q array<string>, s string, k array<string>")
+    got = [(r.m, r.n) for r in df.select(T.missing_dimensions(F.col("q")).alias("m"), T.needs_enrichment(F.col("s"), F.col("k"), F.col("q")).alias("n")).collect()]
+    every = ["direct", "action", "comparison", "fault", "alias", "version"]
+    assert got == [(["comparison", "fault", "alias", "version"], False), (every, True), (every, True)]

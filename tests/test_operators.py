@@ -175,3 +175,46 @@ def test_schema_guard(spark):
         governance.guard_schema(df, {"other": "string"})
     with pytest.raises(Exception, match="must have 3 values"):
         governance.guard_schema(df, {}, "v", 3).collect()
+
+
+def test_chunk_rows_inherit_and_are_stored(spark, tmp_path):
+
+    long = "\n\n".join(f"# Part {i}\n" + "word " * 900 for i in range(4))
+    raw = spark.createDataFrame([("d1", "T", "https://h/x", " ", "P1", "short"), ("d2", None, None, "community", None, long), ("d3", "E", None, None, None, None)], "doc_id string, title string, url string, source_type string, source_priority string, body string")
+    chunking.write_chunks(chunking.chunk_rows(raw), str(tmp_path / "store"))
+    rows = {r.chunk_id: r for r in spark.read.parquet(str(tmp_path / "store")).collect()}
+    assert {r.doc_id for r in rows.values()} == {"d1", "d2"} and len(rows) == 5
+    one = rows["d1-001"]
+    assert (one.title, one.url, one.source_type, one.source_priority, one.source, one.summary, one.keywords, one.content) == ("T", "https://h/x", None, "P1", None, "", [], "short")
+
+
+def test_dense_search_on_a_grid(spark):
+    rows = [(i, [float((i * 7 + j) % 5 - 2) + i / 1000 for j in range(4)]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, dense_vector array<float>")
+    one = sorted((r.query_id, r.id, r["rank"]) for r in retrieval.dense_topk(df, df.where("id < 20"), 3).collect())
+    grid = sorted((r.query_id, r.id, r["rank"]) for r in retrieval.dense_topk(df, df.where("id < 20"), 3, block_rows=6).collect())
+    assert one == grid and len(one) == 60
+
+
+def test_frequent_terms_are_split(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "cache " * (i % 3 + 1) + "index") for i in range(30)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "cache index")], "q long, text2 string")
+    score = lambda: sorted(tuple(r) for r in retrieval.sparse_scores(docs, asked, "doc_id", "text", "q", "text2", 30).collect())
+    whole = score()
+    monkeypatch.setattr(retrieval, "TERM_ROWS", 4)
+    assert score() == whole and len(whole) == 30
+
+
+def test_multi_query_prefers_the_chunk(spark):
+    rows = [("g", 1, 10, "c1", "question", 1), ("g", 1, 11, "c1", "chunk", 2), ("g", 2, 12, "c1", "question", 1), ("g", 2, 13, "", "chunk", 2), ("g", 2, 14, None, "question", 3)]
+    hits = spark.createDataFrame(rows, "source string, query_id long, id long, chunk_id string, kind string, rank int")
+    got = {r.chunk_id: (r.rrf_score, r.queries, r.kinds, r.shown) for r in retrieval.multi_query(hits, "source", "query_id").collect()}
+    assert got == {"c1": (round(2 / 61 + 1 / 62, 6), 2, "chunk,question", 11), "13": (round(1 / 62, 6), 1, "chunk", 13), "14": (round(1 / 63, 6), 1, "question", 14)}
+
+
+def test_path_contribution(spark):
+
+    rows = [(1, 6, 1), (None, 2, 2), (9, None, 12), (None, None, None)]
+    df = spark.createDataFrame(rows, "embedding_rank int, grep_rank int, full_rank int")
+    assert tuple(evaluation.path_contribution(df).first()) == (0.25, 0.25, 0.5, 1, 0.25)
+    assert tuple(evaluation.path_contribution(df.limit(0)).first()) == (0.0, 0.0, 0.0, 0, 0.0)

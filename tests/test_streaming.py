@@ -51,3 +51,22 @@ def test_counter_versions(spark, tmp_path):
     write(spark.createDataFrame([("a",)], "kw string"), 1)  # a batch that is repeated after a failure
     got = {r.kw: r["count"] for r in spark.read.parquet(str(tmp_path / "state" / "v1")).collect()}
     assert got == {"a": 3, "b": 1}
+
+
+def test_days_that_come_late_count_once(spark, tmp_path):
+    """Three days in any order are three days; a day seen before isn't another."""
+    schema = "skill string, ts timestamp"
+    for rows in ([("s", at(0, 3))], [("s", at(0, 1)), ("s", at(9, 3))], [("s", at(0, 2)), (None, at(0, 2)), ("s", None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.hit_state(ingest.read_stream(spark, str(tmp_path / "in"), schema, files=1), "skill", "ts", hits=4, days=3)
+    out = ingest.last_rows(ingest.drain(stream, "update", str(tmp_path / "run")), "key").collect()
+    assert [(r.key, r.hits, r.days, r.promoted) for r in out] == [("s", 4, 3, True)]
+
+
+def test_keys_without_hits_are_forgotten(spark, tmp_path):
+    schema = "skill string, ts timestamp"
+    for rows in ([("s", at(0, 1))], [("t", at(0, 25))], [("t", at(0, 26))], [("s", at(0, 27))]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = ingest.hit_state(ingest.read_stream(spark, str(tmp_path / "in"), schema, files=1), "skill", "ts", late="1 day", keep_days=2)
+    out = {r.key: r.hits for r in ingest.last_rows(ingest.drain(stream, "update", str(tmp_path / "run")), "key").collect()}
+    assert out == {"s": 1, "t": 2}

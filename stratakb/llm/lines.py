@@ -41,7 +41,36 @@ PHRASES = {
     r"|.{0,30}(我们|本站|本网站|继续浏览).{0,40}cookies?.{0,60}|.{0,20}(重视|尊重)您的隐私.{0,40}|(wir|diese (web)?seite) (und unsere .{0,30} )?(verwenden|verwendet|nutzen|nutzt|setzen|setzt|speichert)\b.{0,30}(cookies?|dateien|daten).{0,90}|ihre privatsphäre.{0,90}|mit (dem|ihrem) (weiteren )?besuch.{0,90}"
     r"|(nous|ce site|notre site).{0,40}(cookies?|traceurs|témoins).{0,90}|votre vie privée.{0,90}|en (poursuivant|continuant).{0,60}(acceptez|cookies?).{0,60}|(usamos|utilizamos|este sitio (usa|utiliza|guarda)|nosotros y nuestros).{0,40}(cookies?|rastreadores|archivos|datos|socios).{0,90}|su privacidad.{0,90}|al (continuar|seguir) .{0,60}(acepta|cookies?).{0,60}",
 }
+def alternatives(source: str) -> list[str]:
+    """The alternatives of a pattern at its outermost level."""
+    out, depth, inside, start, i = [], 0, False, 0, 0
+    while i < len(source):
+        c = source[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(source[start:i])
+            start = i + 1
+        i += 1
+    return [*out, source[start:]]
+
+
+def _by_length(body: str) -> list[tuple[re.Pattern, int]]:
+    """A pattern in two: the alternatives that fit up to some length, with that length, and those that fit any."""
+    widths = [(x, re._parser.parse(x).getwidth()[1]) for x in alternatives(body)]
+    bounded, free = [(x, n) for x, n in widths if n < 10_000], [x for x, n in widths if n >= 10_000]
+    out = [(re.compile("|".join(x for x, _ in bounded)), max(n for _, n in bounded))] if bounded else []
+    return out + ([(re.compile("|".join(free)), 2**31)] if free else [])
+
+
 PHRASE = [(kind, re.compile(rf"(?:{body})")) for kind, body in PHRASES.items()]
+PHRASE_PARTS = [(kind, part, most) for kind, body in PHRASES.items() for part, most in _by_length(body)]
 # Entries of navigation and of legal menus.
 NAVIGATION = set(
     "home|docs|documentation|blog|forum|forums|contact|contact us|support|help|pricing|status|search|guides|careers|jobs|changelog|community|about|about us|sign in|sign up|log in|login|register|api reference|api|tutorials|downloads|download|partners|news|press|faq|products|features|team|events|archive|categories|tags|settings|account|my account|login / register"
@@ -85,8 +114,9 @@ def furniture_kind(line: str) -> str | None:
         return None
     if HEADING.match(line):
         return None
-    for kind, pattern in PHRASE:
-        if pattern.fullmatch(text):
+    size = len(text)
+    for kind, pattern, most in PHRASE_PARTS:
+        if size <= most and pattern.fullmatch(text):
             if kind == "paging" and not re.search(r"next|previous|prev|页|zurück|weiter|précédent|suivant|anterior|siguiente|page|seite|página", text):
                 continue
             return kind
@@ -107,13 +137,38 @@ def furniture_kind(line: str) -> str | None:
         if all(kinds) or (kinds[0] and sum(map(bool, kinds)) * 2 >= len(kinds)):
             return kinds[0]
     # a consent sentence with its buttons behind it on the line, or two sentences of a notice
-    for piece in re.split(r"(?<=[.!?。])\s*|\s{2,}", line.strip()):
+    rest, first = line.strip(), None
+    while rest:
+        piece, rest = _first(rest)
         p = bare(piece)
-        if p:
-            if not any(PHRASE_BY[k].fullmatch(p) for k in ("consent", "button", "newsletter", "rating", "copyright", "share")) and not all(bare(q) and (PHRASE_BY["button"].fullmatch(bare(q)) or bare(q) in ("learn more", "read more", "mehr erfahren", "en savoir plus", "más información", "了解更多", "yes", "no", "ja", "nein", "oui", "non", "sí", "是", "否", "sign up", "subscribe")) for q in re.split(r"\s*[|/·]\s*|\s{2,}|(?<=\S) (?=\S+$)", p) if q.strip()):
-                return None
-    first = bare(re.split(r"(?<=[.!?。])\s*", line.strip())[0])
-    return next((k for k, pat in PHRASE if k in ("consent", "newsletter", "rating", "copyright", "share") and pat.fullmatch(first)), None)
+        if p and not any(PHRASE_BY[k].fullmatch(p) for k in NOTICE) and not all(map(_is_button, filter(str.strip, _parts(p)))):
+            return None
+        first = p if first is None else first
+    return next((k for k, pattern in PHRASE if k in NOTICE and k != "button" and pattern.fullmatch(first)), None)
+
+
+NOTICE = ("consent", "button", "newsletter", "rating", "copyright", "share")
+BREAK = re.compile(r"(?<=[.!?。])\s*|\s{2,}")
+#: Further entries of the buttons of a notice.
+ANSWERS = frozenset("learn more|read more|mehr erfahren|en savoir plus|más información|了解更多|yes|no|ja|nein|oui|non|sí|是|否|sign up|subscribe".split("|"))
+
+
+def _first(text: str) -> tuple[str, str]:
+    """The first sentence or part of a text, and what follows."""
+    head, *rest = BREAK.split(text, maxsplit=1)
+    return head, rest[0] if rest else ""
+
+
+def _parts(piece: str) -> list[str]:
+    """The entries of a row of buttons; without separators the last word stands alone."""
+    if re.search(r"[|/·]|\s\s", piece):
+        return re.split(r"\s*[|/·]\s*|\s{2,}|(?<=\S) (?=\S+$)", piece)
+    return piece.rsplit(" ", 1)
+
+
+def _is_button(entry: str) -> bool:
+    text = bare(entry)
+    return bool(text) and (PHRASE_BY["button"].fullmatch(text) is not None or text in ANSWERS)
 
 
 PHRASE_BY = dict(PHRASE)

@@ -118,7 +118,7 @@ def test_pieces():
 
 
 def test_the_pretest_follows_from_the_patterns():
-    assert len(residue.STRONG_FORMS) == sum(len(residue._alternatives(p.pattern)) for p in residue.STRONG)
+    assert len(residue.STRONG_FORMS) == sum(len(L.alternatives(p.pattern)) for p in residue.STRONG)
     for pattern, bit in residue.STRONG_FORMS:
         needed = residue._needed(residue.re._parser.parse(pattern.pattern))
         assert bit > 1 and needed

@@ -62,3 +62,8 @@ def source_priority(kind: Column, age: Column) -> Column:
 
 def priority_number(priority: Column) -> Column:
     return F.when(priority.rlike(r"^P\d+$"), F.substring(priority, 2, 9).cast("int")).otherwise(99)
+
+
+def is_due(last: Column, as_of: str, hours: int) -> Column:
+    """Whether more than `hours` have passed since a date or time; a null one is due."""
+    return F.coalesce(F.timestamp_diff("SECOND", last.cast("timestamp"), F.lit(as_of).cast("timestamp")) > hours * 3600, F.lit(True))

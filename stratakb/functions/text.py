@@ -264,3 +264,18 @@ def needs_enrichment(summary: Column, keywords: Column, questions: Column) -> Co
     """Whether a chunk still lacks its summary, keywords or questions."""
     empty = lambda c: F.coalesce(F.size(clean_list(c)), F.lit(0)) == 0
     return (F.coalesce(F.trim(summary), F.lit("")) == "") | empty(keywords) | empty(questions)
+
+
+# Parts of a URL that say a source is official documentation.
+OFFICIAL = ("/docs/", "docs.", ".readthedocs.", "arxiv.org/abs", "rfc-editor.org", "tools.ietf.org/rfc")
+
+
+def inferred_type(url: Column, tool: Column | None = None) -> Column:
+    """Source type that a URL suggests: official-doc or community; raw texts from a code host count as official. community for a null or blank URL."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    official = F.lit(False)
+    for part in OFFICIAL:
+        official = official | F.contains(u, F.lit(part))
+    if tool is not None:
+        official = official | (tool.eqNullSafe(F.lit("raw_text")) & F.contains(u, F.lit("github.com")))
+    return F.when(official, "official-doc").otherwise("community")

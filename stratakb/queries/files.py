@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratakb.functions import dates as D
 from stratakb.functions import text as T
 from stratakb.operators import chunking, governance
-from stratakb.queries.documents import CHUNKS, DOCS, HASHES, chunks_once, docs
+from stratakb.queries.documents import AS_OF, CHUNKS, DATE, DOCS, HASHES, URL_KEY, chunks_once, docs
 from stratakb.session import shared_dir, table
 from stratakb.sources import files
 from stratakb.streaming import ingest
@@ -144,7 +145,72 @@ def enrichment_due(spark: SparkSession, at: str) -> DataFrame:
     return once.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.sum(due.cast("long")).alias("due"), F.count(F.lit(1)).alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (markdown_fields, chunk_files, answer_log, file_backends, question_index, stored_chunks, html_markdown, stream_hours, stream_hits, stream_new_documents, stream_counters, document_order, text_titles, enrichment_due)}
+def chunk_groups(spark: SparkSession, at: str) -> DataFrame:
+    """Chunks of each document in order, as a scan of the chunk store groups them; chunks without a document or content are skipped."""
+    once = chunks_once(spark, at, "doc_id", "content").where("doc_id is not null and content is not null")
+    return once.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.sort_array(F.collect_list("chunk_id")), ",").alias("chunk_ids"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
+def chunk_prefix_join(spark: SparkSession, at: str) -> DataFrame:
+    """Documents with the chunks and question rows whose ids continue the id of the document, whatever document they name."""
+    own = F.regexp_replace("chunk_id", r"-\d{3}$", "")
+    chunks = chunks_once(spark, at).select(own.alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    asked = table(spark, at, "vectors").where("kind = 'question'").select(F.regexp_replace("question_id", r"-\d{3}-q\d{2}$", "").alias("doc_id"), "question_id")
+    asked = asked.groupBy("doc_id").agg(F.count_distinct("question_id").alias("questions"))
+    held = docs(spark, at).select("doc_id").join(chunks, "doc_id", "left").join(asked, "doc_id", "left")
+    return held.select("doc_id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("questions", F.lit(0)).alias("questions"))
+
+
+def url_prefix_join(spark: SparkSession, at: str) -> DataFrame:
+    """Pages of chunks with the documents stored at them or below them: a prefix join as an equi join on every path above a document."""
+    page = T.url_key(F.col("url"))
+    below = docs(spark, at).select("doc_id", page.alias("page")).where("page is not null")
+    parts = F.split("page", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    above = below.select("doc_id", F.explode(above).alias("page"))
+    asked = table(spark, at, "chunks").select(page.alias("page")).where("page is not null").distinct()
+    return asked.join(above, "page").groupBy("page").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def store_health(spark: SparkSession, at: str) -> DataFrame:
+    """Documents per trust tier, documents without chunks, chunks without a document, and vectors without a chunk."""
+    d, c = docs(spark, at), chunks_once(spark, at, "doc_id")
+    tiers = d.groupBy(F.concat(F.lit("tier "), F.col("tier").cast("string")).alias("what")).agg(F.count(F.lit(1)).alias("rows"))
+    count = lambda name, df: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("what"), "rows")
+    bare = d.join(c.where("doc_id is not null"), "doc_id", "left_anti")
+    orphan = c.join(d, "doc_id", "left_anti")
+    loose = table(spark, at, "vectors").join(c.select("chunk_id"), "chunk_id", "left_anti")
+    return tiers.unionByName(count("no chunks", bare)).unionByName(count("orphan chunks", orphan)).unionByName(count("orphan vectors", loose))
+
+
+def inferred_types(spark: SparkSession, at: str) -> DataFrame:
+    """Source types that URLs suggest beside those that documents carry."""
+    return docs(spark, at).groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind"), T.inferred_type(F.col("url")).alias("inferred")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+def sites_due(spark: SparkSession, at: str) -> DataFrame:
+    """Sites that were last seen more than 30 days ago, with the documents that wait for a new look."""
+    s = table(spark, at, "sites").select("source", D.lenient_date(F.col("last_seen")).alias("seen"))
+    held = docs(spark, at).groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    out = s.join(held, "source", "left").where(D.is_due(F.col("seen"), AS_OF, 30 * 24))
+    return out.select("source", "seen", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+def outcome_fan_in(spark: SparkSession, at: str) -> DataFrame:
+    """Per session, the answers whose extraction worked and those that failed, and the kinds of failure."""
+    status = F.regexp_replace(F.lower(F.trim("extraction_status")), "_", "-")
+    rows = governance.latest(table(spark, at, "qa_answers").select("answer_id", "session_id", "extraction_status", "logged_at"), "answer_id", "logged_at").select("session_id", status.alias("status"))
+    worked = F.col("status") == "ok"
+    return rows.groupBy("session_id").agg(F.count_if(worked).alias("worked"), F.count_if(~F.coalesce(worked, F.lit(False))).alias("failed"), F.array_join(F.sort_array(F.collect_set(F.when(~worked, F.col("status")))), ",").alias("kinds"))
+
+
+def first_paragraphs(spark: SparkSession, at: str) -> DataFrame:
+    """First paragraph of every chunk, as a summary falls back to it."""
+    rows = chunks_once(spark, at, "content").select("chunk_id", T.first_paragraph(F.col("content")).alias("p"))
+    return rows.where("p is not null").select("chunk_id", F.length("p").cast("long").alias("chars"), F.sha2("p", 256).alias("digest"))
+
+
+QUERIES = {f.__name__: f for f in (markdown_fields, chunk_files, answer_log, file_backends, question_index, stored_chunks, html_markdown, stream_hours, stream_hits, stream_new_documents, stream_counters, document_order, text_titles, enrichment_due, chunk_groups, chunk_prefix_join, url_prefix_join, store_health, inferred_types, sites_due, outcome_fan_in, first_paragraphs)}
 
 LAST = "l as (select * from (select *, row_number() over (partition by doc_id order by stored_at desc) as rn from raw_docs where doc_id is not null) where rn = 1)"
 LF = "replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
@@ -169,4 +235,20 @@ ORACLE = {
       s as (select doc_id, title, regexp_replace(regexp_replace(lower(regexp_replace(title, '\.[A-Za-z0-9]+$', '')), '[^a-z0-9\x{4e00}-\x{9fff}]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from h)
       select doc_id, sha256(coalesce(title, '')) as title, case when coalesce(length(slug), 0) = 0 then 'untitled' else slug end as slug from s""",
     "enrichment_due": f"""with {CHUNKS} select coalesce(source, '') as source, sum((coalesce(trim(summary), '') = '' or coalesce(len(list_filter(keywords, lambda x: trim(x) <> '')), 0) = 0 or coalesce(len(list_filter(questions, lambda x: trim(x) <> '')), 0) = 0)::int)::bigint as due, count(*) as chunks from once group by 1""",
+    "chunk_groups": f"with {CHUNKS} select doc_id, count(*) as chunks, string_agg(chunk_id, ',' order by chunk_id) as chunk_ids, sum(length(content))::bigint as chars from once where doc_id is not null and content is not null group by 1",
+    "chunk_prefix_join": f"""with {CHUNKS}, {DOCS}, c as (select regexp_replace(chunk_id, '-[0-9]{{3}}$', '') as doc_id, count(*) as n from once group by 1),
+      q as (select regexp_replace(question_id, '-[0-9]{{3}}-q[0-9]{{2}}$', '') as doc_id, count(distinct question_id) as n from vectors where kind = 'question' group by 1)
+      select d.doc_id, coalesce(c.n, 0) as chunks, coalesce(q.n, 0) as questions from docs d left join c using (doc_id) left join q using (doc_id)""",
+    "url_prefix_join": f"""with {DOCS}, b as (select doc_id, {URL_KEY} as page from docs), a as (select distinct {URL_KEY} as page from chunks)
+      select a.page, count(distinct b.doc_id) as documents from a join b on b.page = a.page or starts_with(b.page, a.page || '/') where a.page is not null group by 1""",
+    "store_health": f"""with {CHUNKS}, {DOCS} select 'tier ' || tier as what, count(*) as rows from docs group by 1 union all select 'no chunks', count(*) from docs where doc_id not in (select doc_id from once where doc_id is not null)
+      union all select 'orphan chunks', count(*) from once where doc_id is null or doc_id not in (select doc_id from docs) union all select 'orphan vectors', count(*) from vectors where chunk_id is null or chunk_id not in (select chunk_id from once)""",
+    "inferred_types": f"""with {DOCS} select coalesce(kind, 'unknown') as kind, case when contains(u, '/docs/') or contains(u, 'docs.') or contains(u, '.readthedocs.') or contains(u, 'arxiv.org/abs') or contains(u, 'rfc-editor.org') or contains(u, 'tools.ietf.org/rfc') then 'official-doc' else 'community' end as inferred, count(*) as documents
+      from (select kind, lower(coalesce(url, '')) as u from docs) group by 1, 2""",
+    "sites_due": f"""with {DOCS}, h as (select source, count(*) as documents from docs group by 1), s as (select source, {DATE.replace('fetched_at', 'last_seen')} as seen from sites)
+      select source, seen, coalesce(documents, 0) as documents from s left join h using (source) where seen is null or seen < date '{AS_OF}' - 30""",
+    "outcome_fan_in": """with a as (select session_id, replace(lower(trim(extraction_status)), '_', '-') as status from (select *, row_number() over (partition by answer_id order by logged_at desc) as rn from qa_answers where answer_id is not null) where rn = 1)
+      select session_id, count(*) filter (status = 'ok') as worked, count(*) filter (coalesce(status <> 'ok', true)) as failed, coalesce(string_agg(distinct status, ',' order by status) filter (status <> 'ok'), '') as kinds from a group by 1""",
+    "first_paragraphs": rf"""with {CHUNKS}, b as (select chunk_id, list_filter(list_transform(string_split_regex(replace(content, chr(13), ''), '\n[ \t]*\n'), lambda x: trim(regexp_replace(regexp_replace(x, '(?m)^[ \t]*#{{1,6}}[ \t].*$', '', 'g'), '[ \t\n\f\r\v]+', ' ', 'g'))), lambda x: x <> '') as ps from once)
+      select chunk_id, length(substr(ps[1], 1, 500)) as chars, sha256(substr(ps[1], 1, 500)) as digest from b where ps[1] is not null""",
 }

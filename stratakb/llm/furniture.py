@@ -193,11 +193,14 @@ def judged_lines(chunks: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
     found = cut(ordered.select("host", "doc", "chunk_id", "text").mapInPandas(lambda b: _difference(b, neighbours), COLUMNS), "lines")
     host = found.groupBy("host", "key").agg(F.sum("shared").alias("hs"), F.sum("compared").alias("hc"), F.count(F.lit(1)).alias("hn"), F.max((F.col("form") == "label").cast("int")).alias("label"))
     host = host.where("hs > 0 or label = 1")
-    seen = host.groupBy("key").agg(F.sum("hs").alias("ks")).where("ks > 0").select("key")  # shared on some host
+    seen = host.groupBy("key").agg(F.sum("hs").alias("ks")).where("ks > 0").select("key", F.lit(True).alias("seen"))  # shared on some host
     usual = (F.col("hs") >= RATE * F.greatest(F.col("hc"), F.lit(1))) & (F.col("hn") >= PAGES) & (F.col("hs") >= PAGES)
-    usual = host.where(usual).select("host", "key", F.lit(True).alias("usual"))
-    own = found.join(seen.withColumn("seen", F.lit(True)), "key", "left").join(usual, ["host", "key"], "left")
-    own = own.join(seen.select(F.col("key").alias("head"), F.lit(True).alias("headed")), "head", "left")
+    judged = host.join(seen, "key").select("host", "key", "seen", usual.alias("usual"))
+    open_ = found.where("form = 'label' or frame or known or head is not null")  # no other line can belong to the page
+    own = open_.join(judged, ["host", "key"], "left")
+    # without a label above there is nothing to look up: no key is shared by all such lines
+    heads = judged.select("host", F.col("key").alias("above"), F.col("seen").alias("headed"))
+    own = own.withColumn("above", F.coalesce("head", F.xxhash64("chunk_id", "line_no"))).join(heads, ["host", "above"], "left").withColumn("headed", F.col("headed") & F.col("head").isNotNull())
     way = (
         F.when((F.col("seen") & (F.col("form") == "label")) | (F.col("usual") & F.col("frame")), "shared")
         .when(F.col("headed") & F.col("form").isin("label", "item"), "below")

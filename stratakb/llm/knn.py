@@ -239,7 +239,7 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
     if scan or len(index) * len(asks) <= 250_000:
         compare(asks, index)
     else:
-        m = max(2, math.ceil(math.log(max(len(index) / 40, 2)) / math.log(2.4)))
+        m = max(2, math.ceil(math.log(max(len(index) / 320, 2)) / math.log(2.4)))
         for t in range(tables):
             fine = Cells(seed + 101 + t, x.shape[1], m, 1.5)
             codes, _, _ = fine.home(x[index])

@@ -24,10 +24,15 @@ def merged_first(lists: list[DataFrame], key: list[str], position: str) -> DataF
     for i, df in enumerate(lists):
         one = df.withColumn("_list", F.lit(i))
         out = one if out is None else out.unionByName(one)
+    return first_of(out, key, position, "_list").withColumnRenamed("_list", "list")
+
+
+def first_of(out: DataFrame, key: list[str], position: str, list_: str = "list") -> DataFrame:
+    """merged_first of lists that are one table, told apart by a column."""
     for k in key:
         out = out.where(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
-    order = Window.partitionBy(*key).orderBy("_list", position)
-    return out.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank").withColumnRenamed("_list", "list")
+    order = Window.partitionBy(*key).orderBy(list_, position)
+    return out.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
 
 
 def last_rows(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:

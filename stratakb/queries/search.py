@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratakb.functions import text as T
 from stratakb.operators import evidence, retrieval
 from stratakb.queries.documents import CHUNKS, chunks_once
 from stratakb.session import table
@@ -50,21 +49,16 @@ def dense_label_recall(spark: SparkSession, at: str) -> DataFrame:
     return near.groupBy("label").agg(F.count_distinct("query_id").alias("queries"), F.round(F.avg((F.col("near") == F.col("label")).cast("int")), 6).alias("share"))
 
 
-def sparse_hits(spark: SparkSession, at: str, k: int = 20) -> DataFrame:
-    """Top k documents by tf-idf for the titles of documents whose doc_id is divisible by 100."""
+def lexical_hits(spark: SparkSession, at: str, k: int, *ways: str) -> DataFrame:
+    """The k best documents by each of ways for the titles of documents whose doc_id is divisible by 100."""
     d = table(spark, at, "documents").select("doc_id", "title", "text")
     asked = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("question"))
-    scores = retrieval.sparse_scores(d, asked, "doc_id", "text", "query_id", "question", d.count())
-    return retrieval.top_ranked(scores, k, "query_id", "doc_id")
+    return retrieval.lexical_topk(d.select("doc_id", "text"), asked, "doc_id", "text", "query_id", "question", k, ways)
 
 
-def overlap_hits(spark: SparkSession, at: str, k: int = 20) -> DataFrame:
-    """Top k documents by the number of distinct query terms they hold."""
-    d = table(spark, at, "documents").select("doc_id", "title", "text")
-    asked = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col("title")))).alias("term"))
-    held = d.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    shared = asked.join(held, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return retrieval.top_ranked(shared, k, "query_id", "doc_id")
+def sparse_hits(spark: SparkSession, at: str, k: int = 20) -> DataFrame:
+    """Top k documents by tf-idf."""
+    return lexical_hits(spark, at, k, "sparse")
 
 
 def sparse_topk(spark: SparkSession, at: str) -> DataFrame:
@@ -78,7 +72,7 @@ def sparse_gate(spark: SparkSession, at: str) -> DataFrame:
 
 def hybrid_rrf(spark: SparkSession, at: str) -> DataFrame:
     """Fusion of the two ranked lists of each query, the ten best."""
-    fused = retrieval.reciprocal_rank_fusion([sparse_hits(spark, at), overlap_hits(spark, at)], "query_id", "doc_id")
+    fused = retrieval.reciprocal_rank_fusion([sparse_hits(spark, at), lexical_hits(spark, at, 20, "overlap")], "query_id", "doc_id")
     best = retrieval.top_ranked(fused, 10, "query_id", "doc_id", "rrf_score")
     return best.select("query_id", "doc_id", F.round("rrf_score", 5).alias("rrf_score"), "lists", F.col("rank").cast("long").alias("rank"))
 
@@ -123,8 +117,8 @@ def evidence_dedup(spark: SparkSession, at: str) -> DataFrame:
 
 def evidence_merge(spark: SparkSession, at: str) -> DataFrame:
     """Union of the sparse and the overlap list in which a document keeps its first row."""
-    lists = [x.select("query_id", "doc_id", "rank") for x in (sparse_hits(spark, at, 10), overlap_hits(spark, at, 10))]
-    return evidence.merged_first(lists, ["query_id", "doc_id"], "rank").select("query_id", "doc_id", F.col("list").cast("long").alias("list"), F.col("rank").cast("long").alias("rank"))
+    lists = lexical_hits(spark, at, 10, "sparse", "overlap").select("list", "query_id", "doc_id", "rank")
+    return evidence.first_of(lists, ["query_id", "doc_id"], "rank").select("query_id", "doc_id", F.col("list").cast("long").alias("list"), F.col("rank").cast("long").alias("rank"))
 
 
 def evidence_budget(spark: SparkSession, at: str) -> DataFrame:

@@ -72,9 +72,9 @@ def sparse_gate(spark: SparkSession, at: str) -> DataFrame:
 
 def hybrid_rrf(spark: SparkSession, at: str) -> DataFrame:
     """Fusion of the two ranked lists of each query, the ten best."""
-    fused = retrieval.reciprocal_rank_fusion([sparse_hits(spark, at), lexical_hits(spark, at, 20, "overlap")], "query_id", "doc_id")
+    fused = retrieval.fused(lexical_hits(spark, at, 20, "sparse", "overlap"), "query_id", "doc_id")
     best = retrieval.top_ranked(fused, 10, "query_id", "doc_id", "rrf_score")
-    return best.select("query_id", "doc_id", F.round("rrf_score", 5).alias("rrf_score"), "lists", F.col("rank").cast("long").alias("rank"))
+    return best.select("query_id", "doc_id", retrieval.rounded(F.col("rrf_score"), 5).alias("rrf_score"), "lists", F.col("rank").cast("long").alias("rank"))
 
 
 def question_collapse(spark: SparkSession, at: str) -> DataFrame:

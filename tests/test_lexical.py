@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from stratakb.operators import retrieval
 from stratakb.plans import pipelines
 from stratakb.queries import search
@@ -52,3 +54,13 @@ def plan_of(spark, tmp_path, query):
 def test_evidence_merge_shuffles_no_pairs(spark, tmp_path):
     """Pairs of a query and a document are made and ranked inside tasks, once for both lists."""
     assert plan_of(spark, tmp_path, search.evidence_merge)["FlatMapCoGroupsInArrow"] == 1
+
+
+def test_hybrid_rrf_makes_both_lists_in_one_pass(spark, tmp_path):
+    assert plan_of(spark, tmp_path, search.hybrid_rrf)["FlatMapCoGroupsInArrow"] == 1
+
+
+def test_rounding_of_doubles_is_that_of_the_sql(spark):
+    """0.031545 as a double lies below its decimal digits: times 1e5 it is under a half."""
+    df = spark.createDataFrame([(0.031545,), (0.5,), (None,)], "x double")
+    assert [r[0] for r in df.select(retrieval.rounded(F.col("x"), 5)).collect()] == [0.03154, 0.5, None]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratakb.operators import retrieval
 from stratakb.plans import pipelines
-from stratakb.queries import search
+from stratakb.queries import fusion, search
 
 WORDS = "cache index node shard 表 page rare".split()
 
@@ -64,3 +64,15 @@ def test_rounding_of_doubles_is_that_of_the_sql(spark):
     """0.031545 as a double lies below its decimal digits: times 1e5 it is under a half."""
     df = spark.createDataFrame([(0.031545,), (0.5,), (None,)], "x double")
     assert [r[0] for r in df.select(retrieval.rounded(F.col("x"), 5)).collect()] == [0.03154, 0.5, None]
+
+
+def test_equal_vectors_are_cut_by_id(spark):
+    """Scores that differ by less than the rounding are equal, so the smaller id stays also where a block is cut."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1e-12]), (3, [0.5, 0.0])], "id long, dense_vector array<double>")
+    asked = spark.createDataFrame([(9, [1.0, 1.0])], "id long, dense_vector array<double>")
+    assert [r.id for r in retrieval.dense_topk(df, asked, 1).collect()] == [1]
+
+
+def test_hybrid_dense_sparse_shuffles_no_pairs(spark):
+    """Vectors and texts both meet their queries in blocks."""
+    assert pipelines.operators(fusion.hybrid_dense_sparse(spark, "/root/testdata/sf0.001"))["FlatMapCoGroupsInArrow"] == 2

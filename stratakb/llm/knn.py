@@ -47,7 +47,7 @@ def usable_units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
     """The logistic form is within 1e-4 of the normal distribution, enough to rank cells."""
-    return 1.0 / (1.0 + np.exp(-np.clip(1.5976 * x + 0.07056 * x**3, -60, 60)))
+    return 1.0 / (1.0 + np.exp(-np.clip(x * (1.5976 + 0.07056 * (x * x)), -60, 60)))
 
 
 @lru_cache(maxsize=16)
@@ -69,10 +69,13 @@ class Cells:
         self.m, self.w = m, w
         self.a, self.b, self.mix = _family(seed, dim, m, w)
 
-    def _code(self, h: np.ndarray) -> np.ndarray:
+    def _sum(self, h: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            c = (h.astype(np.int64) * self.mix).sum(-1)
-            return c ^ (c >> np.int64(31))
+            return (h.astype(np.int64) * self.mix).sum(-1)
+
+    def _code(self, h: np.ndarray) -> np.ndarray:
+        c = self._sum(h)
+        return c ^ (c >> np.int64(31))
 
     def home(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         p = (x.astype(np.float64) @ self.a + self.b) / self.w
@@ -83,10 +86,36 @@ class Cells:
         """(row, cell) of the cells to visit, the home cell among them: until the success adds up, or the first `most`."""
         if most == 1 or not len(x):
             return np.arange(len(x)), self.home(x)[0]
-        step = 8192 if self.m < 5 else 1024  # the scores of a block of rows stay in the cache
-        parts = [self._probes(x[i : i + step], distance, success, most) for i in range(0, len(x), step)]
+        few = most in (2, 3) and self._most_of_two(distance) < success
+        step = 8192 if self.m < 5 or few else 1024  # the scores of a block of rows stay in the cache
+        blocks = (x[i : i + step] for i in range(0, len(x), step))
+        parts = [self._nearest(b, most) if few else self._probes(b, distance, success, most) for b in blocks]
         return np.concatenate([r + i * step for i, (r, _) in enumerate(parts)]), np.concatenate([c for _, c in parts])
 
+    def _most_of_two(self, distance: float) -> float:
+        """No home cell and one beside it hold more of the probability than this."""
+        one, two = (2 * _normal_cdf(np.float64(z * self.w / distance)) - 1 for z in (0.5, 1.0))
+        return float(one ** (self.m - 1) * two)
+
+    def _nearest(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first two or three cells where the success doesn't add up before: home and those behind the nearest borders.
+
+        The likelihood of a step falls with the distance of its border, two borders of a direction are never nearer than
+        the one on its other side, and two changes are never likelier than each of them.
+        """
+        _, h, inside = self.home(x)
+        code, n = self._sum(h), np.arange(len(x))
+        border = np.concatenate([inside, self.w - inside], 1)
+        step = np.concatenate([-self.mix, self.mix])
+        cells = [code]
+        for _ in range(most - 1):
+            at = border.argmin(1)
+            with np.errstate(over="ignore"):
+                cells.append(code + step[at])
+            border[n, at] = np.inf
+        c = np.concatenate(cells)
+        return np.tile(n, most), c ^ (c >> np.int64(31))
+
     def _probes(self, x: np.ndarray, distance: float, success: float, most: int | None) -> tuple[np.ndarray, np.ndarray]:
         code, h, inside = self.home(x)
         n, m = h.shape
@@ -177,15 +206,26 @@ def _copies(batches: Iterator[pa.RecordBatch], dim: int, m: int, w: float, seed:
 
 
 def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, qkey: np.ndarray, ckey: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each q, each c once; ties by the candidate's key."""
-    order = np.lexsort((c, q))
-    q, c, s = q[order], c[order], s[order]
-    keep = np.ones(len(q), bool)
-    keep[1:] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
-    q, c, s = q[keep], c[keep], s[keep]
-    order = np.lexsort((ckey[c], -s, q))
+    """The k best of each q, each c once with its best cosine; ties by the candidate's key."""
+    if not len(q):
+        return q, c, s
+    pair = q.astype(np.int64) * (int(c.max()) + 1) + c
+    order = np.argsort(pair)
+    pair = pair[order]
+    start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    del pair
+    s = np.maximum.reduceat(s[order], start)
+    order = order[start]
+    q, c = q[order], c[order]
+    bits = (s.astype(np.float32) + np.float32(0)).view(np.int32)  # whole numbers in the order of the cosines
+    rank = (q.astype(np.int64) << 32) + (0x7FFFFFFF - (bits ^ ((bits >> 31) & 0x7FFFFFFF)).astype(np.int64))
+    order = np.argsort(rank)
+    rank = rank[order]
+    same = rank[1:] == rank[:-1]
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    order[tied] = order[tied][np.lexsort((ckey[c[order[tied]]], rank[tied]))]
     q, c, s = q[order], c[order], s[order]
-    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.array([], int)
+    start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
     rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
     top = rank < k
     return q[top], c[top], s[top]
@@ -200,10 +240,16 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
     if not len(index) or not len(asks):
         return np.array([], int), np.array([], int), np.array([], np.float32)
 
-    def fold() -> None:
-        """Keep the best of each query of what was got; memory stays bounded however many pairs are close."""
+    def taken() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What was got, without the pairs of one key; got is empty then."""
         q, c, s = (np.concatenate(z) for z in zip(*got))
         got.clear()
+        other = key[q] != key[c]
+        return q[other], c[other], s[other]
+
+    def fold() -> None:
+        """Keep the best of each query of what was got; memory stays bounded however many pairs are close."""
+        q, c, s = taken()
         if min_sim > -1:  # the cosine is symmetric: what a query finds holds for its candidate too
             back = query[c]
             q, c, s = np.r_[q, c[back]], np.r_[c, q[back]], np.r_[s, s[back]]
@@ -227,11 +273,11 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
                         n = min(most + 1, sim.shape[axis])
                         np.put_along_axis(top, np.argpartition(-sim, n - 1, axis=axis).take(range(n), axis), True, axis)
                     close &= top
-                a, b = np.nonzero(close)
-            qi, ci, si = q[i : i + step][a], c[b], sim[a, b]
-            other = key[qi] != key[ci]
-            got.append((qi[other], ci[other], si[other]))
-            held += len(got[-1][0])
+                at = np.flatnonzero(close)  # much faster than nonzero of a table
+                a = at // sim.shape[1]
+                b = at - a * sim.shape[1]
+            got.append((q[i : i + step][a], c[b], sim[a, b]))
+            held += len(a)
             if held > 2_000_000:
                 fold()
                 held = 0
@@ -255,15 +301,18 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
                 if hi[i] - lo[i] > 1 or end[i] - start[i] > 1 or rows[lo[i]] != r[start[i]]:
                     compare(r[start[i] : end[i]], rows[lo[i] : hi[i]])
             if got:  # what the tables have in common is held once
-                q, c2, s = (np.concatenate(z) for z in zip(*got))
-                pair = np.unique(q * len(x) + c2, return_index=True)[1]
-                got[:] = [(q[pair], c2[pair], s[pair])]
-                held = len(pair)
+                q, c2, s = taken()
+                pair = q * len(x) + c2
+                order = np.argsort(pair)
+                pair = pair[order]
+                order = np.r_[order[:1], order[1:][pair[1:] != pair[:-1]]]
+                got.append((q[order], c2[order], s[order]))
+                held = len(order)
     if best and got:
         fold()
     if best:
         return best[0]
-    q, c, s = (np.concatenate(z) for z in zip(*got)) if got else (np.array([], int),) * 2 + (np.array([], np.float32),)
+    q, c, s = taken() if got else (np.array([], int),) * 2 + (np.array([], np.float32),)
     if min_sim > -1:
         back = query[c]
         q, c, s = np.r_[q, c[back]], np.r_[c, q[back]], np.r_[s, s[back]]

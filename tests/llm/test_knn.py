@@ -84,6 +84,31 @@ def test_probes_start_at_home_and_differ(m):
         assert mine[0] == home[i] and len(set(mine)) == len(mine) <= 4
 
 
+@pytest.mark.parametrize("m", [2, 4, 7])
+def test_few_cells_are_those_of_the_general_order_without_its_scores(m, monkeypatch):
+    """Three cells a query are the nearest ones; the likelihoods of all steps of all rows took most of the search before."""
+    x = clustered(3000, 14)
+    table = knn.Cells(121, 64, m, 1.5)
+    r, c = table._probes(x, 0.45, 0.98, 3)
+    want = set(zip(r.tolist(), c.tolist()))
+    scored, cdf = [], knn._normal_cdf
+    monkeypatch.setattr(knn, "_normal_cdf", lambda z: scored.append(np.size(z)) or cdf(z))
+    r, c = table.probes(x, 0.45, 0.98, 3)
+    assert set(zip(r.tolist(), c.tolist())) == want and len(r) == 3 * len(x)
+    assert sum(scored) < len(x)
+    r, c = table.probes(x, 0.05, 0.98, 3)  # where the success adds up before, fewer are visited
+    assert len(r) < 3 * len(x)
+
+
+def test_best_of_a_list():
+    q, c = np.array([1, 0, 0, 0, 1, 0]), np.array([2, 1, 2, 0, 2, 1])
+    s = np.array([0.1, 0.2, 0.5, 0.5, 0.9, 0.7], np.float32)
+    got = knn._best(q, c, s, np.arange(2), np.array([30, 20, 10]), 2)  # the better of two cosines of a pair, ties by the key
+    assert [z.tolist() for z in got[:2]] == [[0, 0, 1], [1, 2, 2]] and np.allclose(got[2], [0.7, 0.5, 0.9])
+    q, c, s = knn._best(q, c, -s, np.arange(2), np.array([30, 20, 10]), 9)
+    assert q.tolist() == [0, 0, 0, 1] and c.tolist() == [1, 2, 0, 2] and np.allclose(s, [-0.2, -0.5, -0.5, -0.1])
+
+
 def test_extra_columns(spark):
     df = frame(spark, clustered(50, 6)).withColumn("cell", F.lit("x")).withColumn("near", F.lit(1))
     assert knn.most_similar(df, k=2, min_sim=0.1).columns == ["key", "near", "sim"]

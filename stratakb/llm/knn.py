@@ -166,7 +166,8 @@ def _units(v: pa.Array, dim: int) -> np.ndarray:
     v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
     v = v.chunk(0) if isinstance(v, pa.ChunkedArray) else v
     x = np.frombuffer(v.buffers()[2], "<i2", len(v) * dim, int(np.frombuffer(v.buffers()[1], "<i4")[v.offset])).reshape(len(v), dim).astype(np.float32)
-    return x / np.sqrt((x * x).sum(1))[:, None]
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def _packed(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, qkey: np.ndarray, ckey: n
 
 def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndarray, k: int, min_sim: float, tables: int, probes: int, distance: float, scan: bool, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, candidate row, cosine) of one cell: queries against home rows, each key once."""
-    index, asks = np.flatnonzero(home), np.flatnonzero(query)
+    index, asks = (np.flatnonzero(z).astype(np.int32) for z in (home, query))
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # what was folded so far
     most, held = k + 4, 0
@@ -249,12 +250,15 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
 
     def fold() -> None:
         """Keep the best of each query of what was got; memory stays bounded however many pairs are close."""
-        q, c, s = taken()
+        best.append(taken())
         if min_sim > -1:  # the cosine is symmetric: what a query finds holds for its candidate too
+            q, c, s = best[-1]
             back = query[c]
-            q, c, s = np.r_[q, c[back]], np.r_[c, q[back]], np.r_[s, s[back]]
-        q, c, s = (np.concatenate(z) for z in zip(*best, (q, c, s)))
-        best[:] = [_best(q, c, s, key, key, most)]
+            best.append((c[back], q[back], s[back]))
+            del q, c, s
+        q, c, s = (np.concatenate(z) for z in zip(*best))
+        best.clear()
+        best.append(_best(q, c, s, key, key, most))
 
     def compare(q: np.ndarray, c: np.ndarray) -> None:
         nonlocal held
@@ -288,10 +292,11 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
         m = max(2, math.ceil(math.log(max(len(index) / 320, 2)) / math.log(2.4)))
         for t in range(tables):
             fine = Cells(seed + 101 + t, x.shape[1], m, 1.5)
-            codes, _, _ = fine.home(x[index])
+            codes = np.concatenate([fine.home(x[index[i : i + 8192]])[0] for i in range(0, len(index), 8192)])
             order = np.argsort(codes, kind="stable")
             codes, rows = codes[order], index[order]
-            r, c = fine.probes(x[asks], distance, 0.98, probes)
+            parts = [(i, *fine.probes(x[asks[i : i + 8192]], distance, 0.98, probes)) for i in range(0, len(asks), 8192)]
+            r, c = np.concatenate([r + i for i, r, _ in parts]), np.concatenate([c for _, _, c in parts])
             by = np.argsort(c, kind="stable")
             r, c = asks[r[by]], c[by]
             cells, start = np.unique(c, return_index=True)
@@ -302,7 +307,7 @@ def search_cell(key: np.ndarray, home: np.ndarray, query: np.ndarray, x: np.ndar
                     compare(r[start[i] : end[i]], rows[lo[i] : hi[i]])
             if got:  # what the tables have in common is held once
                 q, c2, s = taken()
-                pair = q * len(x) + c2
+                pair = q * np.int64(len(x)) + c2
                 order = np.argsort(pair)
                 pair = pair[order]
                 order = np.r_[order[:1], order[1:][pair[1:] != pair[:-1]]]
